@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, packing, token_files, url_filter
+from sparkloom.llm import chat_format, packing, simhash_dedup, token_files, url_filter
 from sparkloom.llm._common import scratch_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
@@ -94,6 +99,7 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.nth = 1
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op6_simhash_dedup": op6_simhash_dedup,
         "op7_token_files": op7_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
