@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, packing, simhash_dedup, token_files, url_filter
+from sparkloom.llm import chat_format, packing, quality_classifier, quality_rules, simhash_dedup, token_files, url_filter
 from sparkloom.llm._common import scratch_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,31 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    stats = F.col("__quality_s")
+    return judged.select(
+        "doc_id",
+        stats.count_words.alias("n_words"),
+        stats.count_word_chars.alias("word_chars"),
+        stats.count_n_symbols.alias("n_symbols"),
+        stats.count_n_dup_lines.alias("n_dup_lines"),
+        stats.count_n_repeat_words.alias("n_repeat_words"),
+        F.col("__quality_failed").alias("base_failed"),
+        F.col("__quality_kept").alias("kept"),
+        F.col("__quality_rule").alias("rule"),
+    )
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), keep=~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_classifier.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -99,6 +124,8 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.nth = 1
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_simhash_dedup": op6_simhash_dedup,
         "op7_token_files": op7_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
