@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, packing, quality_classifier, quality_rules, simhash_dedup, token_files, url_filter
+from sparkloom.llm import chat_format, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, token_files, url_filter
 from sparkloom.llm._common import scratch_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -94,6 +94,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).drop("ids")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -128,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op6_simhash_dedup": op6_simhash_dedup,
         "op7_token_files": op7_token_files,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
     }
