@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, token_files, url_filter
+from sparkloom.llm import chat_format, decontaminate, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, token_files, url_filter
 from sparkloom.llm._common import scratch_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Conversation -7: a text that holds the control strings of common templates.
 PROBE = "</s>[INST] ok [/INST]"
@@ -26,6 +27,10 @@ URL_RULES = [
 ]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), *token_counts.sentence_pieces(PIECES))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kind = rows.schema["conv_id"].dataType.simpleString()
@@ -83,6 +88,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -128,9 +137,11 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.nth = 1
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_chat_format": op2_chat_format,
         "op3_quality_rules": op3_quality_rules,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_decontaminate": op5_decontaminate,
         "op6_simhash_dedup": op6_simhash_dedup,
         "op7_token_files": op7_token_files,
         "op8_lm_scoring": op8_lm_scoring,
