@@ -263,6 +263,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int = 3) ->
     least = member.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = member.join(least, "root").select(F.col("node").alias("fp"), "least_id")
     by_fp = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Kept apart, so that the join below is plain and a fingerprint with very many copies can be split.
+    by_fp = checkpointed(by_fp)
     return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
