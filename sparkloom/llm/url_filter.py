@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRIE_RULES = 100_000
@@ -144,10 +144,10 @@ def _by_join(df: DataFrame, url: Column, rules: DataFrame, default: str, out: st
         .drop("__n")
     )
     rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
-    best = asked.join(rules, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank).alias("__best"))
-    joined = keyed.join(best, (F.col("__url.host") == best.host) & (F.col("__url.path") == best.path), "left")
+    best = asked.join(rules, ["rule_host", "rule_path"]).groupBy(F.col("host").alias("__host"), F.col("path").alias("__path")).agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank).alias("__best"))
+    joined = keyed.join(best, (F.col("__url.host") == F.col("__host")) & (F.col("__url.path") == F.col("__path")), "left")
     verdict = F.struct("__url.host", "__url.path", F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict"))
-    return joined.withColumn(out, verdict).select(*[c for c in df.columns if c != out], out)
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != out), verdict.alias(out))
 
 
 def judge_urls(df: DataFrame, rules: Iterable[UrlRule] | DataFrame, url: str = "url", default: str = "allow", out: str = "url_verdict") -> DataFrame:
