@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sparkloom.llm._common import shuffle_width, written
 from sparkloom.llm.word_ids import broadcast_tokenizer, encoder
@@ -112,7 +113,7 @@ class RangeCoder:
         return out
 
 
-def _tokens(tokenizer: Broadcast, end_id: int, bounds: Broadcast):
+def _tokens(tokenizer: Broadcast, end_id: int, bounds: Broadcast, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer.value)
         end, cuts = np.array([end_id], "<u4").tobytes(), bounds.value
@@ -120,36 +121,43 @@ def _tokens(tokenizer: Broadcast, end_id: int, bounds: Broadcast):
             ids = [encode(t.as_py()) + end for t in batch.column(1).cast(pa.binary())]
             keys = batch.column(0).to_pylist()
             shard = [0 if k is None else int(np.searchsorted(cuts, k, side="right")) for k in keys]
-            made = [batch.column(0), pa.array(shard, pa.int32()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())]
+            made = [batch.column(0), pa.array(shard, pa.int32()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([_narrow(i, width) for i in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "shard", "n", "crc", "ids"])
 
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Three bytes an id, as no vocabulary here has 2^24 items."""
-    return np.frombuffer(ids, np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _narrow(ids: bytes, width: int) -> bytes:
+    """``width`` bytes an id, for the table between tokenizing and coding."""
+    if width == 2:
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    return np.frombuffer(ids, np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def _wide(ids: bytes) -> np.ndarray:
-    out = np.zeros((len(ids) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(ids, np.uint8).reshape(-1, 3)
+def _wide(ids: bytes, width: int) -> np.ndarray:
+    if width == 2:
+        return np.frombuffer(ids, "<u2").astype("<u4")
+    out = np.zeros((len(ids) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(ids, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u4")
 
 
-def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            found = np.bincount(_wide(ids.as_py()))
+def _histogram(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            ids = b"".join(batch.column(0).to_pylist())
+            found = np.bincount(_wide(ids, width))
             if len(found) > len(counts):
                 found, counts = counts, found
             counts[: len(found)] += found
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
+
+    return run
 
 
-def _write_blocks(table: Broadcast, starts: Broadcast, kind: pa.DataType):
+def _write_blocks(table: Broadcast, starts: Broadcast, kind: pa.DataType, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = RangeCoder(table.value)
         shard, block, at = None, 0, 0
@@ -172,7 +180,7 @@ def _write_blocks(table: Broadcast, starts: Broadcast, kind: pa.DataType):
                     if held:
                         yield flush()
                     shard, block, at, size = own, 0, starts.value[own], 0
-                held.append(_wide(ids.as_py()))
+                held.append(_wide(ids.as_py(), width))
                 docs.append(doc)
                 size += len(held[-1])
                 if size >= BLOCK_TOKENS:
@@ -194,9 +202,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     # Shard bounds: quantiles of doc_id, at most 10,000 numbers.
     cuts = docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else []
     bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.float64)))
-    tokens = _tokens(broadcast_tokenizer(spark, tokenizer_path), end_id, bounds)
+    held = broadcast_tokenizer(spark, tokenizer_path)
+    largest = max(*Tokenizer.from_str(held.value).get_vocab().values(), end_id)
+    width = 2 if largest < 1 << 16 else 3 if largest < 1 << 24 else 4
+    tokens = _tokens(held, end_id, bounds, width)
     ids = written(docs.select("doc_id", "text").mapInArrow(tokens, f"doc_id {kind}, shard int, n long, crc long, ids binary"), "ids")
-    counted = ids.select("ids").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary size at most
+    counted = ids.select("ids").mapInArrow(_histogram(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary size at most
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -205,10 +216,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     starts, at = {}, 0
     for shard in sorted(totals):
         starts[shard], at = at, at + totals[shard]
-    held = spark.sparkContext.broadcast(frequencies)
+    coded = spark.sparkContext.broadcast(frequencies)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64()}[kind]
     dealt = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "crc").select("doc_id", "shard", "ids")
-    blocks = dealt.mapInArrow(_write_blocks(held, spark.sparkContext.broadcast(starts), arrow), BLOCK.format(kind))
+    blocks = dealt.mapInArrow(_write_blocks(coded, spark.sparkContext.broadcast(starts), arrow, width), BLOCK.format(kind))
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     table = [(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)]
     spark.createDataFrame(table, "id int, frequency int").coalesce(1).write.parquet(f"{path}/frequencies")

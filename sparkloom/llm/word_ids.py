@@ -9,6 +9,7 @@ plain call that tests hold this against.
 
 from __future__ import annotations
 
+import gc
 import struct
 from functools import lru_cache
 from pathlib import Path
@@ -94,5 +95,8 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(definition: str) -> WordEncoder:
-    """One encoder, with its caches, for all tasks of a Python worker."""
+    """One encoder, with its caches, for all tasks of a Python worker. The
+    caches hold very many objects and no cycles: looking for cycles often is
+    of no use there."""
+    gc.set_threshold(200_000, 20, 20)
     return WordEncoder(definition)
