@@ -21,6 +21,7 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -106,19 +107,21 @@ class Counter:
         return words, tokens, unknown
 
 
-_HELD: list[tuple[int, Counter]] = []
+_HELD: list[tuple[str, Counter]] = []
 
 
-def _shared(vocabulary: Broadcast) -> Counter:
-    """One counter, with its cache, for all tasks of a Python worker."""
-    if not _HELD or _HELD[0][0] != id(vocabulary.value):
-        _HELD[:] = [(id(vocabulary.value), Counter(LongestMatch(*vocabulary.value)))]
+def _shared(name: str, vocabulary: Broadcast) -> Counter:
+    """One counter, with its cache, for all tasks of a Python worker that use the vocabulary of this name."""
+    if not _HELD or _HELD[0][0] != name:
+        _HELD[:] = [(name, Counter(LongestMatch(*vocabulary.value)))]
     return _HELD[0][1]
 
 
 def _count(vocabulary: Broadcast):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _shared(vocabulary)
+        count = _shared(name, vocabulary)
         for batch in batches:
             found = [count(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             made = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
