@@ -35,12 +35,12 @@ from tokenizers import Tokenizer
 from sparkloom.llm._common import shuffle_width, written
 from sparkloom.llm.word_ids import broadcast_tokenizer, encoder
 
-LANES, CHECKPOINT, SCALE_BITS = 512, 64, 22
+LANES, CHECKPOINT, SCALE_BITS = 2048, 64, 22
 SCALE = 1 << SCALE_BITS
 #: Coder states lie in [LOW, LOW << 32).
 LOW = 1 << 31
 #: A block is closed at the end of the document that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 19
 #: Tokens that a shard is to have, about.
 SHARD_TOKENS = 1 << 23
 BLOCK = "shard int, block int, start long, doc_ids array<{}>, n_tokens array<int>, ids_crc32 long, n_words long, states binary, words binary, checkpoints binary"
