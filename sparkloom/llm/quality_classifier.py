@@ -14,8 +14,8 @@ dictionaries (``dictionary_bytes`` each at most) go to all tasks.
 
 Defined cases: null and empty texts score like a text of which nothing is
 known, the curve's value at 0; with labels of one kind only, or none, every
-text has the share of label 1 (0.5 without labels) as its score; repeated rows
-score alike; an empty table gives no rows; other columns pass through
+text has the share of label 1 (0.5 without labels) as its score; labels of
+documents that aren't there count for nothing; repeated rows score alike; an empty table gives no rows; other columns pass through
 ``keep_good`` whatever their names.
 """
 
@@ -110,8 +110,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_class: int = PER_CLASS, blocks: int = BLOCKS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
-    """``keep``: which rows of ``labels`` may be learned from."""
-    sample, totals = sampled(document_labels(labels, keep=keep), per_class)
+    """``keep``: which rows of ``labels`` may be learned from; labels of
+    documents that ``docs`` lacks don't count."""
+    present = docs.select("doc_id").distinct()
+    sample, totals = sampled(checkpointed(document_labels(labels, keep=keep).join(present, "doc_id", "left_semi")), per_class)
     good, bad = totals.get(1, 0), totals.get(0, 0)
     if not good or not bad:
         share = (good + 0.5) / (good + bad + 1) if good + bad else 0.5
@@ -141,8 +143,9 @@ def score(model: Model, text: Column) -> Column:
     return F.pandas_udf(run, "double")(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, keep: Column | None = None, **bounds: int) -> DataFrame:
-    """``docs`` whose score is ``least`` or more."""
-    model = fit(docs, labels, keep, **bounds)
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, keep: Column | None = None, learn_from: DataFrame | None = None, **bounds: int) -> DataFrame:
+    """``docs`` whose score is ``least`` or more. ``learn_from``: the labelled
+    documents, where ``docs`` no longer has those that a stage before rejected."""
+    model = fit(docs if learn_from is None else learn_from, labels, keep, **bounds)
     scored = docs.withColumn(_SCORE, score(model, F.col("text")))
     return scored.where(F.col(_SCORE) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

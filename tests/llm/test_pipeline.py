@@ -1,5 +1,7 @@
 """The corpus pipeline against its operators' plain versions, stage by stage; the queries against their SQL."""
 
+import random
+
 import corpus_pipeline
 import duckdb
 import pytest
@@ -30,6 +32,32 @@ def test_stages(spark, sf_dir):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
 
 
+def test_classifier_removes_bad_documents_that_the_rules_leave(spark, tmp_path):
+    """All labelled bad documents have symbols and go by a rule; the planted ones have their words only."""
+    rng = random.Random(4)
+    good = "stone river walks under green light sings every morning slowly".split()
+    bad = "prize bonus click today offer money claim winner instant reward".split()
+    rows, labels = [], []
+    for k in range(600):
+        kind = "bad" if k % 3 == 0 else "planted" if k % 30 == 1 else "good"
+        words = [rng.choice(good if kind == "good" else bad) for _ in range(rng.randrange(60, 120))]
+        if kind == "bad":
+            words[::6] = [w + "***" for w in words[::6]]
+        rows.append((k, " ".join(words)))
+        if kind != "planted":
+            labels.append((k, int(kind == "good"), 0))
+    labels += [(k, 1, 0) for k in range(10_000, 12_000)]  # of documents that aren't there
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.rules(spark, docs, str(tmp_path))
+    before = {r["doc_id"] for r in left.collect()}
+    assert all(k % 3 for k in before) and sum(k % 30 == 1 for k in before) > 15
+    kept = {r["doc_id"] for r in corpus_pipeline.classifier(spark, left, str(tmp_path)).collect()}
+    planted = {k for k in before if k % 30 == 1}
+    assert not kept & planted and len(kept) >= 0.98 * len(before - planted)
+
+
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
