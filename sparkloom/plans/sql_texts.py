@@ -127,9 +127,9 @@ def parameters(rows: DataFrame, sql: str = "sql") -> DataFrame:
 
 
 def hints(rows: DataFrame, sql: str = "sql") -> DataFrame:
-    """One row per hint of /*+ … */ comments: name and arguments, in lower case."""
-    whole = F.regexp_extract(F.lower(F.col(sql)), r"/\*\+([\s\S]*?)\*/", 1)
-    found = F.regexp_extract_all(whole, F.lit(r"([a-z_]\w*(?:\s*\([^)]*\))?)"), F.lit(1))
+    """One row per hint of all /*+ … */ comments: name and arguments, in lower case."""
+    comments = F.regexp_extract_all(F.lower(F.col(sql)), F.lit(r"/\*\+([\s\S]*?)\*/"), F.lit(1))
+    found = F.flatten(F.transform(comments, lambda c: F.regexp_extract_all(c, F.lit(r"([a-z_]\w*(?:\s*\([^)]*\))?)"), F.lit(1))))
     out = rows.select(*rows.columns, F.explode(found).alias("__h"))
     return out.select(*rows.columns, F.regexp_extract("__h", r"^(\w+)", 1).alias("hint"), F.trim(F.regexp_extract("__h", r"\(([^)]*)\)", 1)).alias("arguments"))
 

@@ -131,3 +131,10 @@ def test_sql_of_nulls_and_nothing(spark):
     for f in (S.statements, S.tokens, S.lint, S.table_names, S.parameters, S.hints):
         f(df).collect()
     assert rows(S.statements(df).select("id")) == []
+
+
+def test_hints_of_all_statements(spark):
+    script = "SELECT /*+ LEADING(a b) */ 1; SELECT /*+ full(c) parallel(c, 4) */ 2 UNION SELECT /*+\n no_merge */ 3 /* plain */; SELECT /*+ leading(a b) */ 4"
+    rows = spark.createDataFrame([(1, script), (2, "SELECT 1 /* x */"), (3, None)], "id int, sql string")
+    found = sorted((r["id"], r["hint"], r["arguments"]) for r in S.hints(rows).collect())
+    assert found == [(1, "full", "c"), (1, "leading", "a b"), (1, "leading", "a b"), (1, "no_merge", ""), (1, "parallel", "c, 4")]
