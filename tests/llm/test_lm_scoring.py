@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import lm_scoring as L
@@ -139,3 +140,20 @@ def test_nothing_to_learn_from(spark):
 def test_model_beats_words_on_held_out_rows(spark):
     found = Q.op8_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(base_score) AS base", "sum(score) AS own").first()
     assert found["own"] > 1.2 * found["base"]  # negative numbers: less than 1.2 times the bits
+
+
+@pytest.mark.parametrize("entries", [0, 40, 1 << 22])
+def test_whole_tree_with_any_head(spark, monkeypatch, entries):
+    monkeypatch.setattr(L, "_SLICE", 50)
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("abcab é") for _ in range(rng.randrange(1, 90)))) for k in range(40)]
+    rows += [(40, None), (41, "zzz xq"), (2, rows[2][1]), (2, rows[2][1])]
+    held = lambda k: k % 4 == 1
+    depth = 3
+    lines = [(k, L.normal_text(L.normal_words((t or "").encode()))) for k, t in rows]
+    plain = PlainTree([t for k, t in lines if not held(k)], depth)
+    want = sorted((k, sum(plain.log10((b"\n" * depth + t)[j : j + depth], t[j]) for j in range(len(t)))) for k, t in lines)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["score"]) for r in L.score_documents(docs, F.col("doc_id") % 4 == 1, depth=depth, entries=entries).collect())
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-3)
