@@ -5,16 +5,21 @@ of piece lengths, at most ``capacity`` numbers however many documents there
 are: the driver searches it, and tasks then place every piece by its rank among
 the pieces of its length.
 
-The search (``pack_lengths``) starts from best-fit decreasing as incumbent. It
-takes the longest piece left, enumerates fillings of the space beside it that
-no other filling dominates (none can be had by enlarging a piece or adding
-one), best first, applies one as often as the counts allow, and goes on;
-branches whose bins plus waste bound can't beat the incumbent are cut. It ends
-at the volume bound, when all branches are done (small inputs: proven best), or
-at ``nodes`` branchings, with the incumbent.
-
-Every applied filling uses up a length or nearly so; the plan has at most a
-few rows per length, so its broadcast is bounded by ``capacity`` as well.
+The search (``complete_bins``) is one branch-and-bound for histograms of any
+size. It takes the longest piece left and enumerates the fillings of the space
+beside it, least waste first and longer pieces first among equals. Which sums
+the pieces left can make is kept as one bit set a length, so that no attempt
+ends without a filling. Fillings that another one dominates (a piece could be
+added, or one but the longest be changed for a longer) are skipped. A filling
+is applied as often as the counts allow, and once on the way back. Branches are
+cut where the waste so far, or a lower bound on the bins of what is left, can't
+beat the incumbent. The first incumbent is best-fit decreasing; a completed
+plan of as many bins takes its place, and from then on only fewer bins will do.
+
+The search ends at the lower bound, when all branches are done (then the plan
+is proven best), or after ``nodes`` branchings, with the incumbent; ``Packed``
+says which. Every applied filling uses up a length or nearly so; the plan has
+at most a few rows per length, so its broadcast is bounded by ``capacity`` too.
 
 Defined cases: null and empty texts have the end id alone; repeated rows are
 packed once each; a null doc_id packs like any other; no rows, no pieces;
@@ -24,8 +29,9 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,30 +46,16 @@ from sparkloom.llm.word_ids import broadcast_tokenizer, encoder
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 Plan = list[tuple[Filling, int]]  # filling, number of bins
 
-#: Inputs of so many pieces at most are searched piece by piece and completely.
-SMALL = 60
-
-
-class _Stock:
-    """Counts by length, with the lengths that are left in order."""
-
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.counts = {k: v for k, v in counts.items() if v > 0}
-        self.lengths = sorted(self.counts)
+#: Branchings after which the search gives back the incumbent.
+NODES = 20_000
 
-    def take(self, filling: Filling, bins: int) -> None:
-        for length, times in filling:
-            left = self.counts.get(length, 0) - times * bins
-            if left:
-                if length not in self.counts:
-                    self.lengths.insert(bisect_left(self.lengths, length), length)
-                self.counts[length] = left
-            else:
-                del self.counts[length]
-                del self.lengths[bisect_left(self.lengths, length)]
 
-    def volume(self) -> int:
-        return sum(k * v for k, v in self.counts.items())
+class Packed(NamedTuple):
+    plan: Plan
+    branchings: int
+    completed: bool  # the plan is from bin completion, not the best-fit incumbent
+    lower_bound: int
+    proven: bool  # no plan has fewer bins
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
@@ -93,115 +85,142 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [x for found in open_bins.values() for x in found]
 
 
-def _undominated(stock: _Stock, space: int, filling: dict[int, int]) -> bool:
-    """No piece can be added, and none but the first be swapped for a longer one in stock."""
-    free = lambda n: stock.counts[n] > filling.get(n, 0)
-    at = bisect_right(stock.lengths, space)
-    if any(free(n) for n in stock.lengths[:at]):
-        return False
-    longest = max(filling)
-    for n in filling:
-        if n == longest and filling[n] == 1:
-            continue
-        if any(free(x) for x in stock.lengths[bisect_right(stock.lengths, n) : bisect_right(stock.lengths, n + space)]):
-            return False
-    return True
-
-
-def _fillings(stock: _Stock, capacity: int, depth: int, limit: int) -> list[tuple[int, Filling]]:
-    """(waste, filling) of bins around the longest piece left, least waste
-    first, larger pieces first among equals. ``depth``: pieces that are searched
-    for after the greedy part; ``limit``: fillings looked at."""
-    longest = stock.lengths[-1]
-    filling, space = {longest: 1}, capacity - longest
-    at = len(stock.lengths) - 1
-    while depth < 99 and at >= 0 and space > depth * stock.lengths[at]:  # far from full: take the longest that are left
-        n = stock.lengths[at]
-        extra = min(stock.counts[n] - filling.get(n, 0), space // n - depth + 1)
-        if extra > 0:
-            filling[n] = filling.get(n, 0) + extra
-            space -= extra * n
-        at -= 1
-    found: list[tuple[int, Filling]] = []
-    looked = 0
-
-    def fill(space: int, below: int, depth: int) -> bool:
-        """True: enough."""
-        nonlocal looked
-        looked += 1
-        for k in range(bisect_right(stock.lengths, min(space, below)) - 1, -1, -1) if depth else ():
-            n = stock.lengths[k]
-            if depth == 1 and found and space - n > found[-1][0] and len(found) > 8:
-                break
-            if stock.counts[n] > filling.get(n, 0):
-                filling[n] = filling.get(n, 0) + 1
-                stop = fill(space - n, n, depth - 1)
-                filling[n] -= 1
-                if not filling[n]:
-                    del filling[n]
-                if stop or looked > limit:
-                    return True
-        if _undominated(stock, space, filling):
-            found.append((space, tuple(sorted(filling.items(), reverse=True))))
-            return space == 0 and limit < 99_999
-        return False
-
-    if depth == 99:
-        fill(space, capacity, 99)
-    else:
-        for d in range(depth + 1):  # few and large pieces first
-            if fill(space, capacity, d):
-                break
-        if not found:
-            while space and (k := bisect_right(stock.lengths, space)):
-                n = next((x for x in reversed(stock.lengths[:k]) if stock.counts[x] > filling.get(x, 0)), 0)
-                if not n:
-                    break
-                filling[n] = filling.get(n, 0) + 1
-                space -= n
-            found.append((space, tuple(sorted(filling.items(), reverse=True))))
-    return sorted(dict.fromkeys(found), key=lambda x: x[0])[:8] if depth < 99 else sorted(set(found), key=lambda x: (x[0], x[1]))
-
-
-def pack_lengths(counts: dict[int, int], capacity: int, nodes: int = 1000) -> Plan:
+def lower_bound(counts: np.ndarray) -> int:
+    """Bins that ``counts`` pieces by length (0 to the capacity) need at least:
+    for every threshold, pieces that leave less than it and those over half
+    take a bin each, and the middle-sized ones need what space these don't have."""
+    capacity, half = len(counts) - 1, (len(counts) - 1) // 2
+    n = np.concatenate([[0], np.cumsum(counts)])  # n[k]: pieces shorter than k
+    volume = np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
+    k = np.arange(half + 1)
+    alone = n[-1] - n[capacity - k + 1]
+    over_half, their_volume = n[capacity - k + 1] - n[half + 1], volume[capacity - k + 1] - volume[half + 1]
+    missing = volume[half + 1] - volume[k] - (over_half * capacity - their_volume)
+    return int((alone + over_half + np.maximum(0, -(-missing // capacity))).max())
+
+
+class _Stock:
+    """Counts by length, and which sums the shortest lengths can make."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.capacity, self.lengths = capacity, sorted(counts)
+        self.place = {n: k for k, n in enumerate(self.lengths)}
+        self.left = [counts[n] for n in self.lengths]
+        self.by_length = np.zeros(capacity + 1, np.int64)
+        self.by_length[self.lengths] = self.left
+        self.sums, self.mask = [1] * (len(self.lengths) + 1), (1 << (capacity + 1)) - 1
+        self.valid = 0  # sums[0] to sums[valid] are as the counts are
+
+    def take(self, filling: Filling, bins: int) -> None:
+        for n, times in filling:
+            k, most = self.place[n], self.capacity // n
+            before = self.left[k]
+            self.left[k] = after = before - times * bins
+            self.by_length[n] = after
+            if min(before, most) != min(after, most):
+                self.valid = min(self.valid, k)
+
+    def reach(self, k: int) -> int:
+        """Bit s: some of the pieces of the ``k`` shortest lengths add up to s."""
+        while self.valid < k:
+            n, times = self.lengths[self.valid], min(self.left[self.valid], self.capacity // self.lengths[self.valid])
+            bits, step = self.sums[self.valid], 1
+            while times:
+                step = min(step, times)
+                bits |= bits << (n * step)
+                times -= step
+                step *= 2
+            self.valid += 1
+            self.sums[self.valid] = bits & self.mask
+        return self.sums[k]
+
+    def longest(self) -> int:
+        """Place of the longest piece left."""
+        return int(np.flatnonzero(self.by_length)[-1])
+
+    def adding_up(self, k: int, total: int, used: dict[int, int]) -> Iterator[None]:
+        """Each way to make ``total`` of the ``k`` shortest lengths, put into ``used``."""
+        if not total:
+            yield
+            return
+        for j in range(min(k, bisect_right(self.lengths, total)) - 1, -1, -1):
+            if not self.reach(j + 1) >> total & 1:
+                return
+            n, held = self.lengths[j], used.get(self.lengths[j], 0)
+            for times in range(min(self.left[j] - held, total // n), 0, -1):
+                if self.reach(j) >> (total - times * n) & 1:
+                    used[n] = held + times
+                    yield from self.adding_up(j, total - times * n, used)
+                    used[n] = held
+                    if not held:
+                        del used[n]
+
+    def _free(self, low: int, high: int, used: dict[int, int]) -> bool:
+        """There is a piece over ``low`` and up to ``high`` beside the ``used``."""
+        a, b = bisect_right(self.lengths, low), bisect_right(self.lengths, high)
+        return any(self.left[k] > used.get(self.lengths[k], 0) for k in range(a, b))
+
+    def fillings(self) -> Iterator[tuple[int, Filling]]:
+        """(waste, filling) around the longest piece, undominated, least waste first."""
+        longest = self.longest()
+        space, used = self.capacity - longest, {longest: 1}
+        k = bisect_right(self.lengths, space)
+        first = True
+        for waste in range(space + 1):
+            if not self.reach(k) >> (space - waste) & 1:
+                continue
+            for _ in self.adding_up(k, space - waste, used):
+                swapped = (n for n, times in used.items() if n != longest or times > 1)
+                if first or not (self._free(0, waste, used) or any(self._free(n, n + waste, used) for n in swapped)):
+                    yield waste, tuple(sorted(used.items(), reverse=True))
+            first = False
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packed:
     """Fillings and how many bins have each, for ``counts`` pieces by length."""
-    whole: Plan = [(((capacity, 1),), counts[capacity])] if counts.get(capacity) else []
-    counts = {k: v for k, v in counts.items() if v and k != capacity}
+    counts = {k: v for k, v in counts.items() if v}
     if not counts:
-        return whole
-    size = lambda plan: sum(b for _, b in plan)
-    best = best_fit_decreasing(counts, capacity)
-    total, small = sum(k * v for k, v in counts.items()), sum(counts.values()) <= SMALL
-    lower = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
-    stock, plan, used, left = _Stock(counts), [], 0, total
-    choices = lambda: iter(_fillings(stock, capacity, 99 if small else 3, 100_000 if small else 3000))
+        return Packed([], 0, True, 0, True)
+    best, completed, branchings = best_fit_decreasing(counts, capacity), False, 0
+    stock = _Stock(counts, capacity)
+    total, lower = sum(k * v for k, v in counts.items()), lower_bound(stock.by_length)
+    limit = total_bins(best)  # bins that a plan may have
+    plan, used, wasted = [], 0, 0
+
+    def choices() -> Iterator[tuple[int, Filling, int]]:
+        for waste, filling in stock.fillings():
+            most = min(stock.left[stock.place[n]] // times for n, times in filling)
+            if waste:  # as often as the waste allows
+                most = min(most, max(1, (limit * capacity - total - wasted) // waste))
+            yield waste, filling, most
+            if most > 1:
+                yield waste, filling, 1
+
     stack = [choices()]
-    while stack and nodes and size(best) > lower:
-        nodes -= 1
-        waste, filling = next(stack[-1], (0, None))
-        if filling is None:
+    while stack and branchings < nodes and not (completed and limit < lower):
+        waste, filling, bins = next(stack[-1], (0, (), 0))
+        if not bins or wasted + waste > limit * capacity - total:  # no filling, or none with so little waste
             stack.pop()
             if plan:
                 filling, bins = plan.pop()
                 stock.take(filling, -bins)
-                used -= bins
-                left += bins * sum(n * t for n, t in filling)
-            continue
-        bins = 1 if small else min(stock.counts[n] // t for n, t in filling)
-        after = left - bins * sum(n * t for n, t in filling)
-        if used + bins + -(-after // capacity) >= size(best):
+                used, wasted = used - bins, wasted - bins * (capacity - sum(n * t for n, t in filling))
             continue
+        branchings += 1
         stock.take(filling, bins)
-        plan.append((filling, bins))
-        used, left = used + bins, after
-        if not left:
-            best = list(plan)
+        if used + bins + lower_bound(stock.by_length) > limit:
             stock.take(filling, -bins)
-            plan.pop()
-            used, left = used - bins, left + bins * sum(n * t for n, t in filling)
             continue
-        stack.append(choices())
-    return whole + best
+        plan.append((filling, bins))
+        used, wasted = used + bins, wasted + bins * waste
+        if stock.by_length.any():
+            stack.append(choices())
+            continue
+        best, completed, limit = list(plan), True, used - 1
+        plan.pop()
+        stock.take(filling, -bins)
+        used, wasted = used - bins, wasted - bins * waste
+    return Packed(best, branchings, completed, lower, not stack or total_bins(best) == lower)
 
 
 def slots(plan: Plan) -> np.ndarray:
@@ -260,7 +279,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, nodes: int = 1000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, nodes: int = NODES) -> DataFrame:
     """One row a piece, with its sequence_id and its offset there."""
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
@@ -270,7 +289,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     before = F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     first = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    plan = spark.sparkContext.broadcast(slots(pack_lengths(histogram, capacity, nodes)))
+    plan = spark.sparkContext.broadcast(slots(complete_bins(histogram, capacity, nodes).plan))
     by = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("bucket", bucket).withColumn("nth", F.row_number().over(by)).join(first, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth") - 1).alias("rank"))

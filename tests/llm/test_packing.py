@@ -8,6 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from sparkloom.llm import packing as P
+from sparkloom.llm import queries as Q
 from sparkloom.llm.queries import WORD_BPE
 
 
@@ -47,28 +48,62 @@ def holds(plan, counts, capacity):
 
 def test_small_plans_are_the_best():
     rng = random.Random(4)
-    for _ in range(120):
+    for _ in range(150):
         capacity = rng.choice([10, 20, 37])
         lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 9))]
         counts = Counter(lengths)
-        plan = P.pack_lengths(dict(counts), capacity)
-        holds(plan, counts, capacity)
-        assert P.total_bins(plan) == exact(lengths, capacity)
+        packed = P.complete_bins(dict(counts), capacity)
+        holds(packed.plan, counts, capacity)
+        assert P.total_bins(packed.plan) == exact(lengths, capacity)
+        assert packed.completed and packed.proven and packed.lower_bound <= P.total_bins(packed.plan)
+
+
+def test_better_than_best_fit():
+    """Best fit opens a bin too many; completion finds the plan without it."""
+    better = 0
+    rng = random.Random(11)
+    for _ in range(60):
+        lengths = [rng.randint(20, 70) for _ in range(rng.randint(10, 24))]
+        counts = Counter(lengths)
+        packed, fit = P.complete_bins(dict(counts), 100), P.best_fit_decreasing(dict(counts), 100)
+        holds(packed.plan, counts, 100)
+        assert packed.completed and P.total_bins(packed.plan) <= P.total_bins(fit)
+        better += P.total_bins(packed.plan) < P.total_bins(fit)
+    assert better > 2
+    assert P.total_bins(P.complete_bins({6: 2, 5: 2, 4: 2, 3: 4, 2: 2}, 10).plan) == 5
 
 
-def test_large_plans_are_near_the_volume_bound():
+def test_large_plans_are_at_the_lower_bound():
     rng = random.Random(8)
-    counts = Counter(min(2048, int(rng.lognormvariate(5.5, 1))) + 1 for _ in range(20_000))
-    counts = {min(k, 2048): v for k, v in counts.items()}
-    plan = P.pack_lengths(counts, 2048)
-    holds(plan, counts, 2048)
-    bound = -(-sum(k * v for k, v in counts.items()) // 2048)
-    assert P.total_bins(plan) <= bound * 1.002 + 1
-
-
-def test_beats_best_fit_where_it_must():
-    counts = {6: 2, 5: 2, 4: 2, 3: 4, 2: 2}
-    assert P.total_bins(P.pack_lengths(counts, 10)) <= P.total_bins(P.best_fit_decreasing(counts, 10))
+    counts = Counter(min(2048, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(20_000))
+    packed = P.complete_bins(counts, 2048)
+    holds(packed.plan, counts, 2048)
+    assert packed.completed and packed.proven and packed.branchings > 100
+    assert P.total_bins(packed.plan) == packed.lower_bound == -(-sum(k * v for k, v in counts.items()) // 2048)
+
+
+def test_search_that_is_cut_off_gives_the_incumbent():
+    counts = {k: 3 for k in range(1, 60)}
+    packed = P.complete_bins(counts, 100, nodes=2)
+    assert (packed.branchings, packed.completed) == (2, False)
+    assert packed.plan == P.best_fit_decreasing(counts, 100)
+
+
+def test_lower_bounds_hold():
+    rng = random.Random(3)
+    for _ in range(80):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        by_length = np.bincount(lengths, minlength=21)
+        assert -(-sum(lengths) // 20) <= P.lower_bound(by_length) <= exact(lengths, 20)
+
+
+def test_the_query_is_packed_by_completion(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = {r["length"]: r["count"] for r in P.token_pieces(docs, WORD_BPE).groupBy("length").count().collect()}
+    packed = P.complete_bins(counts, 2048)
+    assert packed.completed and packed.proven and packed.branchings >= len([k for k in counts if k < 2048]) // 2
+    found = Q.op9_best_fit_packing(spark, sf_dir).collect()
+    assert len({r["sequence_id"] for r in found}) == P.total_bins(packed.plan) == packed.lower_bound
 
 
 def test_pieces_fill_sequences(spark, sf_dir):
