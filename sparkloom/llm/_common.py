@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: A key that more than one in so many rows has is dealt over several tasks.
+HOT_KEYS = 1000
 #: ASCII white space as the operators' contracts list it: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -17,13 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of
-    our own where the cluster names none (local tests)."""
+    """The folder that all executors share, ``spark.checkpoint.dir``; one of our
+    own only where driver and executors are one process."""
     sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found:
-        return found
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
     return sc.getCheckpointDir()
 
 
@@ -53,3 +59,35 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type in which tasks get and give back a column of ``df``."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def free_names(*wanted: str, beside: DataFrame) -> list[str]:
+    """``wanted``, changed where ``beside`` has columns of these names."""
+    taken = {c.lower() for c in beside.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, times: str, total: int, spread: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``by_key``, which has one row a key and in
+    ``times`` how many of the ``total`` rows have it.
+
+    Rows of a hot key (fewer than ``HOT_KEYS`` keys are, so that list is
+    broadcast) are dealt by ``spread`` over as many places as their share of
+    all rows asks for, and the key's row is sent to each of these.
+    """
+    share = F.col(times) * F.lit(HOT_KEYS / max(1, total))
+    hot = by_key.where(share > 1).select(key, F.ceil(share).cast("int").alias("__deals"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", F.coalesce(F.pmod(spread, F.col("__deals")), F.lit(0)).cast("int")).drop("__deals")
+    sent = by_key.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(share), F.lit(1)).cast("int") - 1)))
+    return dealt.join(sent, [key, "__deal"]).drop("__deal")

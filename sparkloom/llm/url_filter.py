@@ -4,27 +4,36 @@ A rule names a host and a path prefix. It fits its host and every subdomain,
 where the URL's path starts with the rule's path. Of all rules that fit, the
 longest (host and path characters together; then the longer host) decides.
 
-Up to ``MAX_TRIE_RULES`` rules go to the tasks as one broadcast trie. A larger
-set, or one given as a DataFrame, is matched by an equi-join on every host
-suffix and on those path prefixes whose lengths occur among the rules, so no
-task ever holds the whole rule set.
+Up to ``MAX_TRIE_RULES`` rules of ``MAX_TRIE_CHARS`` characters go to the tasks
+as one broadcast trie. Of a larger set no task holds more than one way down the
+trie: the rules of each host, and the URLs that have this host as a suffix, are
+sorted by path, which is the trie's pre-order, and a stack holds the rules that
+begin the path at hand. A host that very many URLs ask for is dealt over tasks,
+and each distinct URL asks once.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and
 fits only rules with an empty host; a URL that no rule fits gets ``default``;
 of equal rules that disagree, block wins; other columns pass through, and an
-input column called like the result column is replaced.
+input column called like the result column is replaced. A URL's cost grows with
+its length and that of the rules, never with the square.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TRIE_RULES = 100_000
+from sparkloom.llm._common import checkpointed, free_names, join_hot, written
+
+MAX_TRIE_RULES, MAX_TRIE_CHARS = 100_000, 10_000_000
+#: Questions about one host beyond which its rules are sent to several tasks.
+HOT_HOST = 1 << 20
 RESULT = "host string, path string, rule string, verdict string"
 
 
@@ -49,12 +58,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class _Node:
-    __slots__ = ("below", "ends", "paths")
+    __slots__ = ("below", "ends", "lengths", "paths")
 
     def __init__(self) -> None:
         self.below: dict[str, _Node] = {}  # by next host label, or next whole path segment
         self.paths: _Node | None = None  # of a host node: where its paths begin
         self.ends: dict[str, UrlRule] = {}  # by the started last segment of a rule
+        self.lengths: list[int] = []  # of the keys of ``ends``, longest first
 
 
 class UrlTrie:
@@ -75,17 +85,18 @@ class UrlTrie:
             held = node.ends.get(started)
             if held is None or held.action != "block":
                 node.ends[started] = rule
+            if len(started) not in node.lengths:
+                insort(node.lengths, len(started), key=lambda n: -n)
 
     def _paths(self, node: _Node | None, segments: list[str]) -> UrlRule | None:
         best = None
         for segment in segments:
             if node is None:
                 break
-            if node.ends:
-                for k in range(len(segment), -1, -1):
-                    if segment[:k] in node.ends:
-                        best = node.ends[segment[:k]]  # deeper is longer
-                        break
+            for k in node.lengths:
+                if k <= len(segment) and segment[:k] in node.ends:
+                    best = node.ends[segment[:k]]  # deeper is longer
+                    break
             node = node.below.get(segment)
         return best
 
@@ -118,47 +129,73 @@ def _by_trie(df: DataFrame, url: Column, rules: list[UrlRule], default: str, out
     return df.withColumn(out, judge(url))
 
 
-def _by_join(df: DataFrame, url: Column, rules: DataFrame, default: str, out: str) -> DataFrame:
-    lower = F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rules and URLs of one host after another, by path: each URL's longest rule."""
+    at, stack = None, []
+    for batch in batches:
+        found = []
+        for key, deal, path, url, action in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if (key, deal) != at:
+                at, stack = (key, deal), []
+            while stack and not path.startswith(stack[-1][0]):
+                stack.pop()
+            if url is None:
+                stack.append((path, action))
+            elif stack:
+                found.append((url, key, *stack[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*found) if found else [[]] * 4)], names=["url", "host", "path", "action"])
+
+
+def _by_walk(df: DataFrame, url: Column, rules: DataFrame, default: str, out: str, hot_host: int) -> DataFrame:
     rules = (
-        rules.select(lower.alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "action")
-        .groupBy("rule_host", "rule_path")
+        rules.select(F.translate("host", *_LOWER).alias("key"), F.coalesce("path", F.lit("")).alias("path"), "action")
+        .groupBy("key", "path")
         .agg(F.max("action").alias("action"))  # block sorts after allow
     )
-    # Path lengths that occur: at most as many as the longest rule has characters.
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^?#]*)", 1)
-    host = F.regexp_extract(rest, r"(?s)^([^/]*)", 1)
-    parts = F.struct(
-        F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
-        F.substring(rest, F.length(host) + 1, F.length(rest)).alias("path"),
-    )
-    keyed = df.withColumn("__key", F.monotonically_increasing_id()).withColumn("__url", parts)
-    urls = keyed.select(F.col("__url.host").alias("host"), F.col("__url.path").alias("path")).distinct()
-    labels = F.split("host", r"\.", -1)
-    asked = (
-        urls.withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-        .withColumn("__n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")))
-        .where(F.col("__n") <= F.length("path"))
-        .withColumn("rule_path", F.substring("path", F.lit(1), F.col("__n")))
-        .drop("__n")
-    )
-    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
-    best = asked.join(rules, ["rule_host", "rule_path"]).groupBy(F.col("host").alias("__host"), F.col("path").alias("__path")).agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank).alias("__best"))
-    joined = keyed.join(best, (F.col("__url.host") == F.col("__host")) & (F.col("__url.path") == F.col("__path")), "left")
-    verdict = F.struct("__url.host", "__url.path", F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict"))
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != out), verdict.alias(out))
-
-
-def judge_urls(df: DataFrame, rules: Iterable[UrlRule] | DataFrame, url: str = "url", default: str = "allow", out: str = "url_verdict") -> DataFrame:
+    names = free_names("__url", "__parts", "__rule", "__verdict", "__times", beside=df)
+    key, parts, rule, verdict, times = names
+    mark = F.instr(url, "://")
+    rest = F.when(mark > 0, F.regexp_extract(F.substring(url, mark + 3, F.length(url)), r"(?s)^([^?#]*+)", 1)).otherwise("")
+    rest = F.coalesce(rest, F.lit(""))
+    cut = F.instr(rest, "/")
+    host = F.translate(F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest), *_LOWER)
+    path = F.when(cut > 0, F.substring(rest, cut, F.length(rest))).otherwise("")
+    asking = df.withColumn(parts, F.struct(host.alias("host"), path.alias("path"))).withColumn(key, F.md5(F.concat(f"{parts}.host", F.lit("\n"), f"{parts}.path")))
+    urls = written(asking.groupBy(key).agg(F.first(F.col(parts)).alias("p"), F.count("*").alias(times)), "urls")
+    labels = F.split("p.host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = urls.select(F.explode(suffixes).alias("key"), F.col("p.path").alias("path"), F.col(key).alias("url"))
+    hot_host = max(hot_host, asked.count() // 10_000)  # so that at most 10,000 hosts are hot
+    hot = checkpointed(asked.groupBy("key").count().where(F.col("count") > hot_host).select("key", F.ceil(F.col("count") / hot_host).cast("int").alias("deals")))
+    asked = asked.join(F.broadcast(hot), "key", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("url"), F.col("deals")), F.lit(0)).cast("int"))
+    sent = rules.join(F.broadcast(hot), "key", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)))
+    both = asked.select("key", "deal", "path", "url", F.lit(None).cast("string").alias("action")).union(sent.select("key", "deal", "path", F.lit(None).cast("string"), "action"))
+    walked = both.repartition("key", "deal").sortWithinPartitions("key", "deal", "path", F.col("url").asc_nulls_first()).mapInArrow(_walk, "url string, host string, path string, action string")
+    rank = F.struct(F.length("host") + F.length("path"), F.length("host"))
+    best = walked.groupBy(F.col("url").alias(key)).agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "action"), rank).alias("best"))
+    answers = urls.drop("p").join(best, key, "left").select(key, times, F.col("best.rule").alias(rule), F.coalesce("best.action", F.lit(default)).alias(verdict))
+    joined = join_hot(asking, written(answers, "verdicts"), key, times, urls.agg(F.sum(times)).first()[0] or 0, F.monotonically_increasing_id())
+    result = F.struct(F.col(f"{parts}.host"), F.col(f"{parts}.path"), F.col(rule).alias("rule"), F.col(verdict).alias("verdict"))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != out), result.alias(out))
+
+
+def judge_urls(df: DataFrame, rules: Iterable[UrlRule] | DataFrame, url: str = "url", default: str = "allow", out: str = "url_verdict", hot_host: int = HOT_HOST) -> DataFrame:
     """``df`` with a struct column ``out``: host, path, rule (null: none) and verdict.
 
     ``rules``: UrlRule tuples, or a DataFrame (action, host, path) of any size.
     """
+    schema = "action string, host string, path string"
     if isinstance(rules, DataFrame):
-        return _by_join(df, F.col(url), rules, default, out)
+        rules = rules.where("host IS NOT NULL").select(*schema.replace(" string", "").split(", "))
+        size = rules.agg(F.count("*").alias("n"), F.sum(F.length("host") + F.coalesce(F.length("path"), F.lit(0))).alias("chars")).first()
+        if size["n"] > MAX_TRIE_RULES or (size["chars"] or 0) > MAX_TRIE_CHARS:
+            return _by_walk(df, F.col(url), rules, default, out, hot_host)
+        rules = [UrlRule(r["action"], r["host"], r["path"] or "") for r in rules.collect()]
     rules = list(rules)
-    if len(rules) <= MAX_TRIE_RULES:
-        return _by_trie(df, F.col(url), rules, default, out)
-    frame = df.sparkSession.createDataFrame([tuple(r) for r in rules], "action string, host string, path string")
-    return _by_join(df, F.col(url), frame, default, out)
+    if len(rules) > MAX_TRIE_RULES or sum(len(r.host) + len(r.path) for r in rules) > MAX_TRIE_CHARS:
+        frame = df.sparkSession.createDataFrame([tuple(r) for r in rules], schema)
+        return _by_walk(df, F.col(url), frame, default, out, hot_host)
+    return _by_trie(df, F.col(url), rules, default, out)

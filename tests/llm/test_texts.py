@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import pytest
 from tokenizers import models
 
 from sparkloom.llm import decontaminate as D
@@ -145,22 +147,41 @@ URLS = [
 ]
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("most, hot", [(100_000, 1 << 20), (0, 1 << 20), (0, 3)])
+def test_url_rules(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(U, "MAX_TRIE_RULES", most)
     rng = random.Random(3)
     rules = [*Q.URL_RULES, U.UrlRule("block", "com", ""), U.UrlRule("allow", "com", ""), U.UrlRule("allow", "a.example.com", "/en"), U.UrlRule("block", "x.com", "/a/b")]
     urls = URLS + [f"http://{'.'.join(rng.choice(['a', 'x', 'example', 'com', 'net']) for _ in range(rng.randint(1, 4)))}/{'/'.join(rng.choice(['a', 'b', 'en', 'de', '7', '8']) for _ in range(rng.randint(0, 3)))}" for _ in range(400)]
-    df = spark.createDataFrame([(k, u, 1, "c") for k, u in enumerate(urls)], "page_id long, url string, host int, url_verdict string")
+    urls += ["http://example.com/en/7"] * 200  # one URL in a quarter of the rows
+    df = spark.createDataFrame([(k, u, 1, "c", k, "p", -k) for k, u in enumerate(urls)], "page_id long, url string, host int, url_verdict string, __url int, __parts string, __Key int")
     for given in (rules, spark.createDataFrame(rules, "action string, host string, path string")):
-        found = U.judge_urls(df, given)
+        found = U.judge_urls(df, given, hot_host=hot)
         assert sorted(found.columns) == sorted(df.columns)
-        for r in found.collect():
-            assert tuple(r["url_verdict"]) == plain_verdict(urls[r["page_id"]], rules), urls[r["page_id"]]
+        rows = found.collect()
+        assert len(rows) == len(urls)
+        for r in rows:
+            k = r["page_id"]
+            assert (r["__url"], r["__parts"], r["__Key"]) == (k, "p", -k)
+            assert tuple(r["url_verdict"]) == plain_verdict(urls[k], rules), urls[k]
 
 
-def test_url_rules_on_nothing(spark):
+def test_long_urls_are_linear():
+    trie = U.UrlTrie([U.UrlRule("block", "com", "/aaa"), U.UrlRule("allow", "com", "/a")])
+    began = time.perf_counter()
+    for _ in range(20):
+        assert trie.match(*U.split_url("http://com/" + "a" * 1_000_000)).path == "/aaa"
+        assert trie.match(*U.split_url("http://" + "a." * 200_000 + "com/" + "a/" * 200_000)).path == "/a"
+    assert time.perf_counter() - began < 10
+
+
+def test_url_rules_on_nothing(spark, monkeypatch):
     df = spark.createDataFrame([], "page_id long, url string")
     assert U.judge_urls(df, Q.URL_RULES).collect() == []
     one = spark.createDataFrame([("http://a.com/",)], "url string")
     assert tuple(U.judge_urls(one, [], default="block").first()["url_verdict"]) == ("a.com", "/", None, "block")
     none = spark.createDataFrame([], "action string, host string, path string")
     assert tuple(U.judge_urls(one, none).first()["url_verdict"]) == ("a.com", "/", None, "allow")
+    monkeypatch.setattr(U, "MAX_TRIE_RULES", -1)
+    assert tuple(U.judge_urls(one, none).first()["url_verdict"]) == ("a.com", "/", None, "allow")
+    assert U.judge_urls(df, Q.URL_RULES).collect() == []
