@@ -10,7 +10,8 @@ size. It takes the longest piece left and enumerates the fillings of the space
 beside it, least waste first and longer pieces first among equals. Which sums
 the pieces left can make is kept as one bit set a length, so that no attempt
 ends without a filling. Fillings that another one dominates (a piece could be
-added, or one but the longest be changed for a longer) are skipped. A filling
+added, or one but the longest be changed for a longer) are skipped, but count
+as branchings too, so that ``nodes`` bounds all work. A filling
 is applied as often as the counts allow, and once on the way back. Branches are
 cut where the waste so far, or a lower bound on the bins of what is left, can't
 beat the incumbent. The first incumbent is best-fit decreasing; a completed
@@ -161,7 +162,8 @@ class _Stock:
         return any(self.left[k] > used.get(self.lengths[k], 0) for k in range(a, b))
 
     def fillings(self) -> Iterator[tuple[int, Filling]]:
-        """(waste, filling) around the longest piece, undominated, least waste first."""
+        """(waste, filling) around the longest piece, least waste first; an empty
+        filling stands for one that is dominated."""
         longest = self.longest()
         space, used = self.capacity - longest, {longest: 1}
         k = bisect_right(self.lengths, space)
@@ -171,8 +173,8 @@ class _Stock:
                 continue
             for _ in self.adding_up(k, space - waste, used):
                 swapped = (n for n, times in used.items() if n != longest or times > 1)
-                if first or not (self._free(0, waste, used) or any(self._free(n, n + waste, used) for n in swapped)):
-                    yield waste, tuple(sorted(used.items(), reverse=True))
+                dominated = not first and (self._free(0, waste, used) or any(self._free(n, n + waste, used) for n in swapped))
+                yield waste, () if dominated else tuple(sorted(used.items(), reverse=True))
             first = False
 
 
@@ -189,6 +191,9 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
     def choices() -> Iterator[tuple[int, Filling, int]]:
         for waste, filling in stock.fillings():
+            if not filling:
+                yield waste, (), 0
+                continue
             most = min(stock.left[stock.place[n]] // times for n, times in filling)
             if waste:  # as often as the waste allows
                 most = min(most, max(1, (limit * capacity - total - wasted) // waste))
@@ -198,15 +203,17 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
     stack = [choices()]
     while stack and branchings < nodes and not (completed and limit < lower):
-        waste, filling, bins = next(stack[-1], (0, (), 0))
-        if not bins or wasted + waste > limit * capacity - total:  # no filling, or none with so little waste
+        waste, filling, bins = next(stack[-1], (capacity * limit, (), 0))
+        branchings += 1
+        if wasted + waste > limit * capacity - total:  # no filling, or none with so little waste
             stack.pop()
             if plan:
                 filling, bins = plan.pop()
                 stock.take(filling, -bins)
                 used, wasted = used - bins, wasted - bins * (capacity - sum(n * t for n, t in filling))
             continue
-        branchings += 1
+        if not filling:
+            continue
         stock.take(filling, bins)
         if used + bins + lower_bound(stock.by_length) > limit:
             stock.take(filling, -bins)
