@@ -16,15 +16,20 @@ compared with what came there. For distance 3 that is two parts of 32 bits,
 2^27 anchors each, and at most 34 short rows a distinct fingerprint.
 
 Only distinct fingerprints are compared, so exact copies cost one row each.
-Anchors where very many meet are set aside and compared in a second step, their
-homes dealt over many tasks. Tasks hand on spanning links, never all pairs, and
-components are found by alternating star contraction on Spark tables.
+What comes to each anchor is counted first, by partial aggregation. An anchor
+where more than ``CELL`` meet is dealt over cells, each a share of its homes
+with a share of its guests, before any task gathers it; so no task holds more
+than two shares. Tasks hand on spanning links, never all pairs, and components
+are found by alternating star contraction on Spark tables; the joins there, and
+the one that gives each row its component, deal out hot keys.
 
 Defined cases: null, empty and blank texts have fingerprint zero, which links
 like any other; texts of fewer words than a shingle are one shingle; rows with
 equal or null doc_id each keep their own row; a group in which every doc_id is
 null has a null component_id; an empty table gives no rows; other columns of
-the input are not read.
+the input are not read. ``one_of_each`` keeps one row of each component: of
+those with the least doc_id (null only where all are null) the one of least
+fingerprint, and any one of rows that agree in both.
 """
 
 from __future__ import annotations
@@ -33,15 +38,19 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from sparkloom.llm._common import checkpointed, written
+from sparkloom.llm._common import arrow_type, checkpointed, free_names, join_hot, written
 
-#: Comparisons at one anchor beyond which it is dealt over several tasks.
-HEAVY_ANCHOR = 1 << 27
+#: Rows at one anchor beyond which it is dealt over cells, and in either share of a cell.
+CELL = 1 << 16
+#: Rows to drop by ``one_of_each`` up to which their ids are broadcast.
+FEW_GONE = 1 << 20
 _BLOCK = 1 << 22
 
 
@@ -73,6 +82,14 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
+def _fingerprint_udf(shingle: int, seed: int = 42):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    return F.pandas_udf(run, "long")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -171,66 +188,59 @@ def _compare(homes: np.ndarray, all_fp: np.ndarray, first: np.ndarray, size: np.
     return spanning_links(np.concatenate(found_x), np.concatenate(found_y))
 
 
-def _meet(max_distance: int, heavy: int):
-    """Rows sorted by (anchor, deal) to links (0, x, y); anchors with over
-    ``heavy`` comparisons come back as they are (1 home or 2 guest, anchor, fp)."""
+def _meet(max_distance: int):
+    """Rows (anchor, cell, home, fp), sorted by the first two, to links (a, b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b"]
-        kept = None
-
-        def settle(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(fp):
-                return
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            size = np.diff(np.concatenate([new, [len(fp)]]))
-            homes = np.add.reduceat(home.astype(np.int64), new)
-            big = homes * size > heavy
-            group = np.repeat(np.arange(len(new)), size)
-            put = np.flatnonzero(big[group])
-            if len(put):
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(home[put], 1, 2).astype(np.int8)), pa.array(key[put, 0]), pa.array(fp[put])], names=names)
-            use = np.flatnonzero(home & (size[group] > 1) & ~big[group])
-            x, y = _compare(fp[use], fp, new[group[use]], size[group[use]], max_distance)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int8)), pa.array(x), pa.array(y)], names=names)
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def settle(last: bool) -> pa.RecordBatch:
+            """Links of the whole groups that wait; the last one may go on."""
+            nonlocal waiting, size
+            rows = pa.Table.from_batches(waiting)
+            anchor, cell, home, fp = (rows.column(k).to_numpy() for k in range(4))
+            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]))
+            stop = len(fp) if last else int(new[-1])
+            waiting, size = ([] if last else rows.slice(stop).combine_chunks().to_batches()), len(fp) - stop
+            new = new[new < stop]
+            count = np.diff(np.concatenate([new, [stop]]))
+            group = np.repeat(np.arange(len(new)), count)
+            use = np.flatnonzero(home[:stop] & (count[group] > 1))
+            x, y = _compare(fp[use], fp, new[group[use]], count[group[use]], max_distance)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
         for batch in batches:
-            key = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
-            part = (key, batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
-            if kept:
-                part = tuple(np.concatenate(p) for p in zip(kept, part))
-            key = part[0]
-            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
-            if last and last >= 200_000:  # whole groups only; the last may go on
-                yield from settle(*(p[:last] for p in part))
-                part = tuple(p[last:] for p in part)
-            kept = part
-        if kept:
-            yield from settle(*kept)
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.num_rows
+            if size >= 4 * CELL:
+                yield settle(False)
+        if waiting:
+            yield settle(True)
 
     return run
 
 
-def _links_at(sent: DataFrame, max_distance: int, heavy: int) -> DataFrame:
-    met = sent.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal").select("anchor", "deal", "home", "fp")
-    return met.mapInArrow(_meet(max_distance, heavy), "kind tinyint, a long, b long")
-
-
-def links(fps: DataFrame, max_distance: int = 3, heavy: int = HEAVY_ANCHOR) -> DataFrame:
+def links(fps: DataFrame, max_distance: int = 3, cell: int = CELL) -> DataFrame:
     """Links a > b that span the near-duplicate components of distinct ``fps`` (column fp)."""
     sent = fps.select("fp").mapInArrow(_send(max_distance), "anchor long, home boolean, fp long")
-    found = checkpointed(_links_at(sent.withColumn("deal", F.lit(0).cast("long")), max_distance, heavy))
-    aside = found.where("kind > 0")
-    out = found.where("kind = 0").select("a", "b")
-    if not aside.isEmpty():
-        # Homes are dealt over enough tasks for ``heavy`` comparisons each; guests go to all of them.
-        deals = aside.groupBy("a").agg((F.floor(F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)) * F.count("*") / heavy) + 1).cast("int").alias("n"))
-        rows = aside.join(deals, "a").select(F.col("a").alias("anchor"), (F.col("kind") == 1).alias("home"), F.col("b").alias("fp"), "n")
-        own = F.pmod(F.xxhash64("fp"), F.col("n"))
-        dealt = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("anchor", F.col("deal").cast("long").alias("deal"), (F.col("home") & (F.col("deal") == own)).alias("home"), "fp")
-        out = out.union(_links_at(dealt, max_distance, 1 << 62).select("a", "b"))
-    return out.distinct()
+    counts = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+    # At most 100,000 anchors are over this, however many rows there are.
+    least = max(cell, 34 * fps.count() // 100_000)
+    shares = lambda n: F.ceil(n / cell).cast("int")
+    heavy = checkpointed(counts.where(F.col("n") > least).select("anchor", F.greatest(shares(F.col("homes")), F.lit(1)).alias("h"), shares(F.col("n")).alias("g")))
+    met = sent.join(F.broadcast(heavy), "anchor", "left")
+    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    # A home is a guest to other homes as well: it goes to all cells of its share of guests, and of its share of homes.
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_home = F.transform(every(F.col("g")), lambda k: F.struct((own(F.col("h")) * F.col("g") + k).alias("cell"), F.lit(True).alias("home")))
+    as_guest = F.transform(every(F.col("h")), lambda k: F.struct((k * F.col("g") + own(F.col("g"))).alias("cell"), F.lit(False).alias("home")))
+    alone = F.array(F.struct(F.lit(0).alias("cell"), F.col("home").alias("home")))
+    places = F.when(F.col("h").isNull(), alone).when(F.col("home"), F.concat(as_home, as_guest)).otherwise(as_guest)
+    dealt = met.select("anchor", "fp", F.explode(places).alias("p")).select("anchor", "p.cell", "p.home", "fp")
+    found = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(_meet(max_distance), "a long, b long")
+    return found.distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -244,32 +254,58 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = mark
         both = stars.union(stars.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("times"))
+        large = join_hot(both.where("b > a"), least, "a", "times", mark["n"], F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times"))
+        small = join_hot(large, least, "a", "times", mark["n"], F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m"))
         stars = checkpointed(small.distinct())
     else:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the least doc_id of its component)."""
+def _grouped(docs: DataFrame, max_distance: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp) of the documents; and for each fp: times, root (the
+    least fingerprint of its component) and component_id."""
     held = written(fingerprints(docs, shingle), "fingerprints")
-    first = held.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = written(held.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")), "distinct")
     found = components(links(first, max_distance))
     member = found.join(first, found.node == first.fp).select("node", "root", "first_id")
-    least = member.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = member.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    by_fp = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    # Kept apart, so that the join below is plain and a fingerprint with very many copies can be split.
-    by_fp = checkpointed(by_fp)
-    return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    least = member.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
+    linked = join_hot(member, least, "root", "n", first.count(), F.col("node")).select(F.col("node").alias("fp"), "root", "least_id")
+    by_fp = first.join(linked, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
+    return held, written(by_fp, "components")
+
+
+def near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int = 3) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the least doc_id of its component)."""
+    held, by_fp = _grouped(docs, max_distance, shingle)
+    return join_hot(held, by_fp, "fp", "times", held.count(), F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, max_distance: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` without the rows whose doc_id is not the least of its component.
-    Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, max_distance, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component.
+
+    Rows whose doc_id is theirs alone are told by it. Those with a null or
+    repeated doc_id, if there are any, are told by doc_id and fingerprint.
+    """
+    held, by_fp = _grouped(docs, max_distance, shingle)
+    rows = written(join_hot(held, by_fp, "fp", "times", held.count(), F.xxhash64("doc_id")).select("doc_id", "fp", "root", "component_id"), "members")
+    # The kept row of a component: least doc_id, then least fp.
+    stays = rows.where("doc_id <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("keep_id"))
+    repeated = checkpointed(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = rows.where("doc_id <> component_id").select("doc_id").union(repeated).distinct()
+    gone = checkpointed(gone)
+    few = gone.count() <= FEW_GONE
+    plain = docs.where("doc_id IS NOT NULL").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if repeated.isEmpty() and rows.where("doc_id IS NULL").isEmpty():
+        return plain
+    fp, nth = free_names("fp", "nth", beside=docs)
+    several = repeated.withColumn(nth, F.lit(True))
+    odd = docs.join(several, "doc_id", "left").where(F.col("doc_id").isNull() | F.col(nth)).drop(nth)
+    odd = odd.withColumn(fp, _fingerprint_udf(shingle)(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    stays = stays.withColumnsRenamed({"fp": "keep_fp"})
+    kept = odd.join(stays, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(fp) == F.col("keep_fp")), "left_semi")
+    # Spark keeps one row a key in each task before it shuffles.
+    one = kept.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", fp).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return plain.unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))

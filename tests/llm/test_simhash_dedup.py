@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from sparkloom.llm import simhash_dedup as S
@@ -92,8 +94,30 @@ def test_heavy_anchors_are_dealt(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     fps = S.fingerprints(docs).select("fp").distinct()
     one = {(r["node"], r["root"]) for r in S.components(S.links(fps)).collect()}
-    two = {(r["node"], r["root"]) for r in S.components(S.links(fps, heavy=20)).collect()}
-    assert one == two and one
+    for cell in (1, 3, 20):
+        assert one == {(r["node"], r["root"]) for r in S.components(S.links(fps, cell=cell)).collect()} and one
+
+
+def test_groups_over_many_batches(monkeypatch):
+    monkeypatch.setattr(S, "CELL", 2)
+    rng = np.random.default_rng(5)
+    anchor = np.sort(rng.integers(0, 9, 300))
+    fp = rng.permutation(300).astype(np.int64) % 64 | anchor << 40
+    home = rng.random(300) < 0.4
+    rows = pa.table([pa.array(anchor), pa.array(np.zeros(300, np.int32)), pa.array(home), pa.array(fp)], names=["anchor", "cell", "home", "fp"])
+    pairs = lambda size: {p for b in S._meet(2)(rows.to_batches(max_chunksize=size)) for p in zip(*(c.to_pylist() for c in b.columns))}
+    want = plain_roots([(x, y) for i, x in enumerate(fp) for j, y in enumerate(fp) if home[i] and anchor[i] == anchor[j] and x != y and int(x ^ y).bit_count() <= 2])
+    for size in (1, 7, 300):
+        assert plain_roots(pairs(size)) == want and want
+
+
+def plain_roots(edges):
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for x, y in edges:
+        a, b = sorted((find(int(x)), find(int(y))))
+        root[b] = a
+    return {x: find(x) for x in root}
 
 
 def test_empty_table(spark):
@@ -105,7 +129,23 @@ def test_components_of_long_chains(spark):
     assert {(r["node"], r["root"]) for r in S.components(edges).collect()} == {(k, 0) for k in range(201)} | {(n, 900) for n in (900, 950, 1000)}
 
 
+def test_hubs_are_dealt(spark):
+    edges = spark.createDataFrame([(5, k) for k in range(6, 900)] + [(2000 + k, 899) for k in range(50)], "a long, b long")
+    assert {r["root"] for r in S.components(edges).collect()} == {5}
+
+
 def test_one_of_each_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d", 9, "x"), (2, "a b c d", 8, "y"), (3, "e f g h", 7, "z")], "doc_id long, text string, fp int, component_id string")
     assert S.one_of_each(docs).columns == docs.columns
     assert {r["doc_id"] for r in S.one_of_each(docs).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_one_of_each_of_odd_ids(spark, monkeypatch, few):
+    """One row a component, whatever doc_ids are null or repeated; no text is lost."""
+    monkeypatch.setattr(S, "FEW_GONE", few)
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "other text stands here"), (3, "a b c d"), (None, "none of its kind at all"), (None, "none of its kind at all"), (None, "a b c d"), (4, "last one of the lot"), (4, "and yet another with that id")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, nth int")
+    found = S.one_of_each(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == sorted([(1, "a b c d"), (3, "other text stands here"), (0, "none of its kind at all"), (4, "last one of the lot"), (4, "and yet another with that id")])
+    assert S.one_of_each(docs).columns == docs.columns
