@@ -86,15 +86,25 @@ ITEM = "the quick brown fox jumps over the lazy dog while nine old wizards quiet
 
 
 def leaked(spark, texts, items, **how):
-    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, t, 1, "k") for k, t in enumerate(texts)], "doc_id long, text string, item_id int, text_key string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id smallint, text string")
     rows = D.leaks(docs, bench, **how).collect()
     kept = {r["doc_id"] for r in D.keep_clean(docs, bench, **how).collect()}
+    assert D.keep_clean(docs, bench, **how).columns == docs.columns
     assert kept == set(range(len(texts))) - {r["doc_id"] for r in rows}
     return sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in rows)
 
 
-def test_leaks(spark, monkeypatch):
+def test_tiling_of_repeated_words_is_quick():
+    began = time.perf_counter()
+    assert D.tiled([1] * 2000, [1] * 2000, 5) == 2000
+    assert time.perf_counter() - began < 0.1
+    began = time.perf_counter()
+    assert D.tiled([1, 2] * 1000, [2, 1] * 400, 5) == 800
+    assert time.perf_counter() - began < 0.1
+
+
+def texts_and_leaks():
     words = ITEM.split()
     filler = "unrelated words that stand around it " * 30
     texts = [
@@ -106,16 +116,30 @@ def test_leaks(spark, monkeypatch):
         " ".join(sorted(words)),  # same words only
         None, "", filler, ITEM, ITEM,
     ]
-    expected = [(0, 0, 20), (1, 0, 20), (2, 0, 20), (4, 0, 19), (9, 0, 20), (10, 0, 20)]
+    return texts, [(0, 0, 20), (1, 0, 20), (2, 0, 20), (4, 0, 19), (9, 0, 20), (10, 0, 20)]
+
+
+@pytest.mark.parametrize("filter_bits", [1 << 27, 64])
+def test_leaks_of_a_large_benchmark(spark, monkeypatch, filter_bits):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 0)
+    monkeypatch.setattr(D, "FILTER_BITS", filter_bits)
+    texts, expected = texts_and_leaks()
+    items = [ITEM, "", None, "one two", "stand around", ITEM, "nothing of the kind here at all"]
+    assert leaked(spark, texts, items) == sorted([*expected, *((d, 5, n) for d, _, n in expected), (0, 4, 2), (8, 4, 2)])
+
+
+def test_leaks(spark):
+    texts, expected = texts_and_leaks()
     assert leaked(spark, texts, [ITEM]) == expected
     assert leaked(spark, texts, [ITEM, "", None, "one two"]) == expected
-    monkeypatch.setattr(D, "BLOCK_WORDS", 5)
     assert leaked(spark, texts, [ITEM, "nothing of the kind here at all", ITEM]) == sorted(expected + [(d, 2, n) for d, _, n in expected])
     assert leaked(spark, texts, ["one two", "stand around"]) == [(0, 1, 2), (8, 1, 2)]  # shorter than a seed: whole
     assert leaked(spark, texts, []) == [] and leaked(spark, [], [ITEM]) == []
 
 
-def test_leaks_query(spark, sf_dir):
+@pytest.mark.parametrize("block", [500_000, 10])
+def test_leaks_query(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)  # 10: the way of a large benchmark
     docs = {r["doc_id"]: D.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r["item_id"]: D.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = set()
