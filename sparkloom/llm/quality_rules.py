@@ -4,13 +4,17 @@ Statistics of each text are DataFrame expressions. ``learn_rules`` finds rules
 that describe rejected documents, on labelled statistics: a rule grows one
 threshold condition at a time, by information gain on two thirds of the
 sample; it is pruned on the last third to the leading conditions that tell
-best; rows that it covers are taken out, and the next rule grows. Each step is
-one Spark aggregation to counts by statistic, threshold interval, label and
-part; only these few hundred counts reach the driver. The rules become one
-ordered ``when ... otherwise`` expression.
+best; rows that it covers are taken out, and the next rule grows. A rule that
+isn't precise enough is dropped, and the next grows from another statistic.
+Thresholds lie between quantiles of either label by itself, so that a fault
+that few texts have can be told too. Each step is one Spark aggregation to
+counts by statistic, threshold interval, label and part; only these few hundred
+counts reach the driver. The rules become one ordered ``when ... otherwise``
+expression.
 
 The sample's bound is ``per_class`` documents of each label. Rules apply to
-every row and need no shuffle.
+every row and need no shuffle; of the statistics only those that the learned
+rules name are computed there.
 
 Windows of three words are compared by a 64-bit hash within one text.
 
@@ -68,69 +72,70 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and a struct column ``__quality_s`` with the statistics.
+_BREAKS = "\t\n\x0b\x0c\r"
+
+
+def with_statistics(docs: DataFrame, text: str = "text", statistics=STATISTICS, prefix: str = _P) -> DataFrame:
+    """``docs`` and a struct column (``prefix`` and "s") with the counts of the
+    contract and those of the ``statistics`` that are asked for.
 
     Columns that later ones use more than once are kept apart, so that the
-    optimizer computes each once.
+    optimizer computes each once, and those that nothing uses not at all.
     """
-    c = lambda n: F.col(_P + n)
-    count = lambda pattern: F.length(c("text")) - F.length(F.regexp_replace(c("text"), pattern, ""))
-    d = docs.withColumn(_P + "text", F.coalesce(F.col(text), F.lit("")))
+    c = lambda n: F.col(prefix + n)
+    count = lambda chars: F.length(c("text")) - F.length(F.translate(c("text"), chars, ""))
+    of_class = lambda pattern: F.length(c("text")) - F.length(F.regexp_replace(c("text"), pattern, ""))
+    d = docs.withColumn(prefix + "text", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumns({
-        _P + "words": F.array_remove(F.split(c("text"), f"[{SPACE_CLASS}]+", -1), ""),
-        _P + "lines": F.filter(F.split(c("text"), "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS}]")),
+        prefix + "words": F.array_remove(F.split(F.translate(c("text"), _BREAKS, " " * len(_BREAKS)), " ", -1), ""),
+        prefix + "lines": F.filter(F.split(c("text"), "\n", -1), lambda x: F.translate(x, " " + _BREAKS, "") != ""),
     })
-    windows = F.transform(F.sequence(F.lit(0), F.size(c("words")) - 3), lambda i: F.xxhash64(F.get(c("words"), i), F.get(c("words"), i + 1), F.get(c("words"), i + 2)))
+    w = c("words")
+    windows = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     d = d.withColumns({
-        _P + "n_words": F.size(c("words")),
-        _P + "word_chars": F.length(F.array_join(c("words"), "")),
-        _P + "distinct": F.size(F.array_distinct(c("words"))),
-        _P + "n_lines": F.size(c("lines")),
-        _P + "n_dup": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
-        _P + "ended": F.size(F.filter(c("lines"), lambda x: x.rlike(f"[.!?][{SPACE_CLASS}]*$"))),
-        _P + "n_symbols": count("[#*$%&|<>]"),
-        _P + "upper": count(r"\p{Lu}"),
-        _P + "marks": count("[!?]"),
-        _P + "digits": count(r"\p{Nd}"),
-        _P + "windows": F.when(F.size(c("words")) >= 3, windows).otherwise(F.array().cast("array<bigint>")),
+        prefix + "n_words": F.size(w),
+        prefix + "word_chars": F.length(F.translate(c("text"), " " + _BREAKS, "")),
+        prefix + "n_lines": F.size(c("lines")),
+        prefix + "n_dup": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
+        prefix + "n_symbols": count("#*$%&|<>"),
+        prefix + "windows": windows,
     })
     # Windows with their places, sorted, so that equal ones are neighbours; only where some repeat.
     placed = F.sort_array(F.transform(c("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn(_P + "placed", F.when(F.size(F.array_distinct(c("windows"))) < F.size(c("windows")), placed))
+    d = d.withColumn(prefix + "placed", F.when(F.size(F.array_distinct(c("windows"))) < F.size(c("windows")), placed))
     same = lambda k: F.coalesce(F.get(c("placed"), k)["h"] == F.get(c("placed"), k + 1)["h"], F.lit(False))
     twice = F.filter(F.sequence(F.lit(0), F.size(c("placed")) - 1), lambda k: same(k) | same(k - 1))
     places = F.sort_array(F.transform(twice, lambda k: F.get(c("placed"), k)["i"]))
     begin = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(places, begin, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    d = d.withColumn(_P + "n_repeat", F.when(c("placed").isNull(), 0).otherwise(covered))
+    d = d.withColumn(prefix + "n_repeat", F.when(c("placed").isNull(), 0).otherwise(covered))
     values = {
-        "n_words": c("n_words").cast("double"),
-        "mean_word": _share(c("word_chars"), c("n_words")),
-        "symbol_share": _share(c("n_symbols"), c("n_words")),
-        "dup_line_share": _share(c("n_dup"), c("n_lines")),
-        "repeat_share": _share(c("n_repeat"), c("n_words")),
-        "upper_share": _share(c("upper"), c("word_chars")),
-        "mark_share": _share(c("marks"), c("n_words")),
-        "digit_share": _share(c("digits"), c("word_chars")),
-        "distinct_share": _share(c("distinct"), c("n_words")),
-        "line_words": _share(c("n_words"), c("n_lines")),
-        "ended_share": _share(c("ended"), c("n_lines")),
+        "n_words": lambda: c("n_words").cast("double"),
+        "mean_word": lambda: _share(c("word_chars"), c("n_words")),
+        "symbol_share": lambda: _share(c("n_symbols"), c("n_words")),
+        "dup_line_share": lambda: _share(c("n_dup"), c("n_lines")),
+        "repeat_share": lambda: _share(c("n_repeat"), c("n_words")),
+        "upper_share": lambda: _share(of_class(r"\p{Lu}"), c("word_chars")),
+        "mark_share": lambda: _share(count("!?"), c("n_words")),
+        "digit_share": lambda: _share(of_class(r"\p{Nd}"), c("word_chars")),
+        "distinct_share": lambda: _share(F.size(F.array_distinct(w)), c("n_words")),
+        "line_words": lambda: _share(c("n_words"), c("n_lines")),
+        "ended_share": lambda: _share(F.size(F.filter(c("lines"), lambda x: x.rlike(f"[.!?][{SPACE_CLASS}]*$"))), c("n_lines")),
     }
     counts = {"words": c("n_words"), "word_chars": c("word_chars"), "n_symbols": c("n_symbols"), "n_dup_lines": c("n_dup"), "n_repeat_words": c("n_repeat")}
-    whole = F.struct(*(v.cast("long").alias(f"count_{k}") for k, v in counts.items()), *(v.alias(k) for k, v in values.items()))
+    whole = F.struct(*(v.cast("long").alias(f"count_{k}") for k, v in counts.items()), *(values[k]().alias(k) for k in statistics))
     # One row in, one row out; as a generator, so that a filter on the result isn't pushed below and computed twice.
-    return d.select(*(F.col(f"`{x}`") for x in docs.columns), F.explode(F.array(whole)).alias(_P + "s"))
+    return d.select(*(F.col(f"`{x}`") for x in docs.columns), F.explode(F.array(whole)).alias(prefix + "s"))
 
 
-def _of(statistic: str) -> Column:
-    return F.col(f"{_P}s")[statistic]
+def _of(statistic: str, prefix: str = _P) -> Column:
+    return F.col(f"{prefix}s")[statistic]
 
 
-def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:
+def base_failed(min_words: int = 50, repeat_percent: int = 50, prefix: str = _P) -> Column:
     """Too few words, or over ``repeat_percent`` of them in repeated windows."""
-    n = _of("count_words")
-    return (n < min_words) | (100 * _of("count_n_repeat_words") > repeat_percent * n)
+    n = _of("count_words", prefix)
+    return (n < min_words) | (100 * _of("count_n_repeat_words", prefix) > repeat_percent * n)
 
 
 def _gain(p: float, n: float, whole_p: float, whole_n: float) -> float:
@@ -146,8 +151,9 @@ def learn_rules(labelled: DataFrame, weight: dict[int, float] | None = None, sta
     parts, and cover ``min_rows`` rows to grow on."""
     weight = weight or {0: 1.0, 1: 1.0}
     steps = [k / bins for k in range(1, bins)]
-    found = labelled.agg(*(F.percentile_approx(s, steps, 10_000).alias(s) for s in statistics)).first()
-    values = {s: sorted(set(found[s] or [])) for s in statistics}
+    quantiles = lambda s, label: F.percentile_approx(F.when(F.col("label") == label, F.col(s)), steps, 10_000)
+    found = labelled.agg(*(quantiles(s, k).alias(f"{s}{k}") for s in statistics for k in (0, 1))).first()
+    values = {s: sorted({*(found[f"{s}0"] or []), *(found[f"{s}1"] or [])}) for s in statistics}
     cuts = {s: [(a + b) / 2 for a, b in zip(v, v[1:])] for s, v in values.items()}  # halfway: clear of either side
     place = lambda s: F.array(*(F.when(F.col(s) > t, 1) for t in cuts[s]), F.lit(None).cast("int"))
     part = F.when(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(3)) == 0, "prune").otherwise("grow")
@@ -158,7 +164,7 @@ def learn_rules(labelled: DataFrame, weight: dict[int, float] | None = None, sta
         return {(r["part"], r["label"], r["pos"], r["col"]): r["count"] for r in chosen.select("part", "label", F.posexplode("at")).groupBy("part", "label", "pos", "col").count().collect()}
 
     rules: list[Rule] = []
-    left = rows
+    left, barred = rows, set()  # statistics that gave no precise rule on the rows left
     while len(rules) < max_rules:
         grown: list[tuple[Condition, dict]] = []
         chosen = left
@@ -170,6 +176,8 @@ def learn_rules(labelled: DataFrame, weight: dict[int, float] | None = None, sta
                 break
             best = (1e-9, None, None)
             for s, name in enumerate(statistics):
+                if not grown and name in barred:
+                    continue
                 up_to = {k: 0.0 for k in whole}
                 for k, cut in enumerate(cuts[name]):
                     for a, b in whole:
@@ -192,9 +200,11 @@ def learn_rules(labelled: DataFrame, weight: dict[int, float] | None = None, sta
         covers = grown[kept - 1][1]
         precise = [(covers[a, 0] + 1e-9) / (covers[a, 0] + covers[a, 1] + 2e-9) for a in ("grow", "prune")]
         if min(precise) < min_precision or not covers["prune", 0]:
-            break
+            barred.add(grown[0][0].statistic)
+            continue
         rule = Rule(tuple(c for c, _ in grown[:kept]), precise[1])
         rules.append(rule)
+        barred.clear()
         left = left.where(~rule.column(F.col))
     return rules
 
@@ -210,21 +220,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[
     return learn_rules(stats, weight)
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = _P) -> Column:
     """The ordered expression: number of the first rule that rejects, from 1; 0 if none does."""
     out = F.when(F.lit(False), 0)
     for k, rule in enumerate(rules):
-        out = out.when(rule.column(_of), k + 1)
+        out = out.when(rule.column(lambda s: _of(s, prefix)), k + 1)
     return out.otherwise(0)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with ``__quality_s``, ``__quality_failed``, ``__quality_rule`` and ``__quality_kept``."""
-    d = with_statistics(docs).withColumns({_P + "failed": base_failed(), _P + "rule": verdict(rules)})
-    return d.withColumn(_P + "kept", ~F.col(_P + "failed") & (F.col(_P + "rule") == 0))
+def judge(docs: DataFrame, rules: list[Rule], prefix: str = _P) -> DataFrame:
+    """``docs`` with the columns s, failed, rule and kept, each behind ``prefix``."""
+    named = {c.statistic for r in rules for c in r.conditions}
+    d = with_statistics(docs, statistics=[s for s in STATISTICS if s in named], prefix=prefix)
+    d = d.withColumns({prefix + "failed": base_failed(prefix=prefix), prefix + "rule": verdict(rules, prefix)})
+    return d.withColumn(prefix + "kept", ~F.col(prefix + "failed") & (F.col(prefix + "rule") == 0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` without the documents that the base rule or a learned rule rejects."""
-    judged = judge(docs, fit(docs, labels, per_class))
-    return judged.where(F.col(_P + "kept")).select(*(F.col(f"`{x}`") for x in docs.columns))
+    prefix = _P
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    judged = judge(docs, fit(docs, labels, per_class), prefix)
+    return judged.where(F.col(prefix + "kept")).select(*(F.col(f"`{x}`") for x in docs.columns))
