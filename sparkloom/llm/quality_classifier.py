@@ -32,11 +32,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import checkpointed
+from sparkloom.llm._common import checkpointed, free_names
 from sparkloom.llm.labelled import document_labels, sampled, with_sample
 
 PER_CLASS, BLOCKS, BLOCK, DICTIONARY_BYTES = 3000, 6000, 512, 1 << 16
-_SCORE = "__quality_score"
 
 
 class Model(NamedTuple):
@@ -147,5 +146,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, keep: Colu
     """``docs`` whose score is ``least`` or more. ``learn_from``: the labelled
     documents, where ``docs`` no longer has those that a stage before rejected."""
     model = fit(docs if learn_from is None else learn_from, labels, keep, **bounds)
-    scored = docs.withColumn(_SCORE, score(model, F.col("text")))
-    return scored.where(F.col(_SCORE) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    (name,) = free_names("score", beside=docs)
+    scored = docs.withColumn(name, score(model, F.col("text")))
+    return scored.where(F.col(name) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

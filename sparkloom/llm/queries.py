@@ -35,7 +35,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kind = rows.schema["conv_id"].dataType.simpleString()
     turn = rows.schema["turn"].dataType.simpleString()
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], f"conv_id {kind}, turn {turn}, role string, text string")
+    probe = spark.range(2).select(F.lit(-7).cast(kind).alias("conv_id"), F.col("id").cast(turn).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     read = chat_format.read_back(chat_format.format_conversations(chat_format.table_events(rows.unionByName(probe))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
@@ -82,7 +82,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # without doc_id there is no remainder, and no label
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), keep=~held_out)
     scored = docs.select("doc_id", held_out.alias("held_out"), quality_classifier.score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
