@@ -19,10 +19,11 @@ So every sequence that any text has gets its probability, as a table. The
 sequences that occur most (at most ``HEAD_GRAMS``) are broadcast with theirs;
 all others meet theirs by the join that serves rare words.
 
-**Words.** Counts of all training words are a Spark table. The words that
-occur most (at most ``HEAD_WORDS``, each of at most ``HEAD_BYTES`` bytes) are
-broadcast; all others meet their counts by a join, so frequent words never
-load one task and rare ones never load the driver.
+**Words.** Counts of all training words are a Spark table. A word of over
+``HEAD_BYTES`` bytes stands there as its SHA-256 behind a tab, which no word
+has, so that words of any length are short keys. The words that occur most (at
+most ``HEAD_WORDS``) are broadcast; all others meet their counts by a join, so
+frequent words never load one task and rare ones never load the driver.
 
 Defined cases: null and empty texts have the end alone; without training rows
 every count is 0; repeated rows are scored and counted once each, rows with
@@ -31,6 +32,7 @@ null doc_id are kept; no rows, no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
@@ -43,7 +45,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import written
+from sparkloom.llm._common import arrow_type, written
 
 DEPTH, HEAD_GRAMS = 5, 1 << 22  # keys of depth + 1 bytes are joined as eight bytes: a depth of 5 at most
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
@@ -57,6 +59,10 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # bytes: A-Z only, ASCII white space only
 
 
+def word_key(word: bytes) -> bytes:
+    return word if len(word) <= HEAD_BYTES else b"\t" + hashlib.sha256(word).digest()
+
+
 def normal_text(words: list[bytes]) -> bytes:
     return b" ".join(words) + _END
 
@@ -353,7 +359,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()):
-            held.update(normal_words(text.as_py()))
+            held.update(map(word_key, normal_words(text.as_py())))
             held[_END] += 1
             if len(held) > 1_000_000:
                 yield rows()
@@ -385,7 +391,7 @@ def gram_values(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """word (bytes, the end is a line feed) and c, over all training rows."""
+    """word (its key; the end is a line feed) and c, over all training rows."""
     return written(train.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
 
 
@@ -403,9 +409,8 @@ def _most_frequent(rows: DataFrame, most: int) -> tuple[Column, int]:
 
 def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[dict[bytes, float], int]:
     """The most frequent words with log10(c + 1), and the least size class among them."""
-    short = words.where(F.length("word") <= HEAD_BYTES)
-    power, least = _most_frequent(short, most)
-    rows = short.where(power >= least).toArrow()
+    power, least = _most_frequent(words, most)
+    rows = words.where(power >= least).toArrow()
     return dict(zip(rows["word"].to_pylist(), np.log10(rows["c"].to_numpy() + 1.0).tolist())), least
 
 
@@ -442,7 +447,7 @@ def _score(grams, head, kind: pa.DataType, depth: int):
                 for k, words, score in zip(range(start, batch.num_rows), several, scores):
                     words.append(_END)
                     known, logs, me = 0, 0.0, base + row
-                    for word, times in Counter(words).items():
+                    for word, times in Counter(map(word_key, words)).items():
                         value = heads.get(word)
                         if value is None:
                             tail_row.append(me), tail_word.append(word), tail_times.append(times)
@@ -491,8 +496,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, entri
     grams = spark.sparkContext.broadcast(most)
     counts = words.select("word", "c", F.lit(None).cast("double").alias("value")).unionByName(others.withColumn("c", F.lit(None).cast("long")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    sent = docs.mapInArrow(_score(grams, held, arrow, depth), f"doc_id {kind}, {_SENT}")
+    sent = docs.mapInArrow(_score(grams, held, arrow_type(docs, "doc_id"), depth), f"doc_id {kind}, {_SENT}")
     met = sent.join(counts, "word", "left")
     own = F.coalesce(F.col("times"), F.lit(0))
     rows = met.groupBy("row").agg(

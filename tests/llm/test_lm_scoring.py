@@ -110,7 +110,7 @@ def expected_base(rows, held):
 
 
 def check(spark, rows, held, column, monkeypatch=None):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS word", "1 AS score")
+    docs = spark.createDataFrame(rows, "doc_id smallint, text string").selectExpr("*", "'q' AS word", "1 AS score")
     found = L.score_documents(docs, column, depth=3).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found), key=key)
@@ -122,7 +122,7 @@ def check(spark, rows, held, column, monkeypatch=None):
 
 def test_words_by_head_and_by_join(spark, monkeypatch):
     rng = random.Random(1)
-    rows = [(k, " ".join(rng.choice(["the", "The", f"rare{rng.randrange(500)}", "x" * 70]) for _ in range(rng.randrange(30)))) for k in range(60)]
+    rows = [(k, " ".join(rng.choice(["the", "The", f"rare{rng.randrange(500)}", "x" * 70, "y" * 90 + "é", "Y" * 90 + "É"]) for _ in range(rng.randrange(30)))) for k in range(60)]
     rows += [(60, None), (61, ""), (62, " \n"), (7, "twice the"), (7, "twice the"), (None, "no id the")]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
     column = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
@@ -132,14 +132,32 @@ def test_words_by_head_and_by_join(spark, monkeypatch):
     check(spark, rows, held, column)
 
 
+def test_long_frequent_words_are_in_the_head(spark):
+    docs = spark.createDataFrame([(k, "-" * 70 + " other " + "z" * 500) for k in range(30)], "doc_id long, text string")
+    head, _ = L.head_words(L.count_words(docs))
+    assert len(head) == 4 and L.word_key(b"-" * 70) in head and max(map(len, head)) <= L.HEAD_BYTES
+
+
+def test_query_scores_are_the_plain_trees(spark, sf_dir):
+    """The query's model against the plain tree, at texts that are short enough for it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) < 400")
+    lines = [(r["doc_id"], L.normal_text(L.normal_words((r["text"] or "").encode()))) for r in docs.collect()]
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    plain = PlainTree([t for k, t in lines if not held(k)], L.DEPTH)
+    some = lines
+    want = {k: sum(plain.log10((b"\n" * L.DEPTH + t)[j : j + L.DEPTH], t[j]) for j in range(len(t))) for k, t in some}
+    got = {r["doc_id"]: r["score"] for r in L.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()}
+    assert len(some) > 5 and np.allclose([got[k] for k in want], list(want.values()), atol=1e-2)
+
+
 def test_nothing_to_learn_from(spark):
     check(spark, [(1, "a b"), (2, None)], lambda k: True, F.lit(True))
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string"), F.lit(False)).collect() == []
 
 
 def test_model_beats_words_on_held_out_rows(spark):
-    found = Q.op8_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(base_score) AS base", "sum(score) AS own").first()
-    assert found["own"] > 1.2 * found["base"]  # negative numbers: less than 1.2 times the bits
+    found = Q.op8_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(base_score) AS base", "sum(score) AS own").first()
+    assert found["own"] > 0.97 * found["base"]  # negative numbers: fewer bits
 
 
 @pytest.mark.parametrize("entries", [0, 40, 1 << 22])
