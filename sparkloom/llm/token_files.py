@@ -1,8 +1,11 @@
 """Token-ID output: blocks coded by static range asymmetric numeral systems.
 
 Files are Parquet rows, one row a block, in shards of ascending doc_id; Spark's
-own writer commits them, so a lost executor leaves no half file. A block holds
-whole documents and decodes alone:
+own writer commits them, so a lost executor leaves no half file. Shards are
+Spark's range partitions by doc_id, then checksum, then place in the input, so
+that one doc_id may span shards. A block holds whole documents and decodes
+alone; where its shard begins in the row of all ids is kept in a table of one
+row a shard:
 
 * ``states`` and ``words``: the ids, dealt in turn to ``LANES`` coders that
   share one stream of 32-bit words;
@@ -17,7 +20,8 @@ and is stored beside the blocks.
 
 Defined cases: null and empty texts have the end id alone; rows with equal
 doc_id follow each other in order of their ids' checksum; null doc_id comes
-first; no rows, no blocks; other columns of the input are not read.
+first; doc_id may have any type that Spark orders; no rows, no blocks; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from sparkloom.llm._common import shuffle_width, written
+from sparkloom.llm._common import arrow_type, shuffle_width, written
 from sparkloom.llm.word_ids import broadcast_tokenizer, encoder
 
 LANES, CHECKPOINT, SCALE_BITS = 2048, 64, 22
@@ -113,16 +118,15 @@ class RangeCoder:
         return out
 
 
-def _tokens(tokenizer: Broadcast, end_id: int, bounds: Broadcast, width: int):
+def _tokens(tokenizer: Broadcast, end_id: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer.value)
-        end, cuts = np.array([end_id], "<u4").tobytes(), bounds.value
+        end, at = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = [encode(t.as_py()) + end for t in batch.column(1).cast(pa.binary())]
-            keys = batch.column(0).to_pylist()
-            shard = [0 if k is None else int(np.searchsorted(cuts, k, side="right")) for k in keys]
-            made = [batch.column(0), pa.array(shard, pa.int32()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([_narrow(i, width) for i in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "shard", "n", "crc", "ids"])
+            made = [batch.column(0), pa.array(range(at, at + len(ids)), pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([_narrow(i, width) for i in ids], pa.binary())]
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "place", "n", "crc", "ids"])
 
     return run
 
@@ -157,35 +161,30 @@ def _histogram(width: int):
     return run
 
 
-def _write_blocks(table: Broadcast, starts: Broadcast, kind: pa.DataType, width: int):
+def _write_blocks(table: Broadcast, kind: pa.DataType, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RangeCoder(table.value)
-        shard, block, at = None, 0, 0
+        coder, shard = RangeCoder(table.value), TaskContext.get().partitionId()
+        block, at, size = 0, 0, 0
         held: list[np.ndarray] = []
-        docs: list = []
+        docs: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, at, held, docs
+            nonlocal block, at, size, held, docs
             ids = np.concatenate(held)
             states, words, marks = coder.encode(ids)
-            row = [shard, block, at, docs, [len(h) for h in held], zlib.crc32(ids.astype("<u4").tobytes()), len(words) // 4, states, words, marks]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            block, at, held, docs = block + 1, at + len(ids), [], []
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["shard", "block", "start", "doc_ids", "n_tokens", "ids_crc32", "n_words", "states", "words", "checkpoints"])
+            keys = pa.concat_arrays(docs)
+            row = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([at], pa.int64()), pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([[len(h) for h in held]], pa.list_(pa.int32()))]
+            row += [pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([len(words) // 4], pa.int64()), *(pa.array([x], pa.binary()) for x in (states, words, marks))]
+            block, at, size, held, docs = block + 1, at + len(ids), 0, [], []
+            return pa.RecordBatch.from_arrays(row, names=["shard", "block", "start", "doc_ids", "n_tokens", "ids_crc32", "n_words", "states", "words", "checkpoints"])
 
-        size = 0
         for batch in batches:
-            for doc, own, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if own != shard:
-                    if held:
-                        yield flush()
-                    shard, block, at, size = own, 0, starts.value[own], 0
+            for k, ids in enumerate(batch.column(1)):
                 held.append(_wide(ids.as_py(), width))
-                docs.append(doc)
+                docs.append(batch.column(0).slice(k, 1).cast(kind))
                 size += len(held[-1])
                 if size >= BLOCK_TOKENS:
                     yield flush()
-                    size = 0
         if held:
             yield flush()
 
@@ -193,34 +192,32 @@ def _write_blocks(table: Broadcast, starts: Broadcast, kind: pa.DataType, width:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
-    """Tokenizes ``docs`` once and writes blocks to ``path``/blocks and the
-    frequency table to ``path``/frequencies."""
+    """Tokenizes ``docs`` once and writes blocks to ``path``/blocks, where each
+    shard starts to ``path``/shards and the frequency table to ``path``/frequencies."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.count("*"), F.sum(F.length("text"))).first()
-    shards = max(1, min(10_000, max(shuffle_width(spark), (rows[1] or 0) // 4 // SHARD_TOKENS), rows[0]))
-    # Shard bounds: quantiles of doc_id, at most 10,000 numbers.
-    cuts = docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.float64)))
     held = broadcast_tokenizer(spark, tokenizer_path)
     largest = max(*Tokenizer.from_str(held.value).get_vocab().values(), end_id)
     width = 2 if largest < 1 << 16 else 3 if largest < 1 << 24 else 4
-    tokens = _tokens(held, end_id, bounds, width)
-    ids = written(docs.select("doc_id", "text").mapInArrow(tokens, f"doc_id {kind}, shard int, n long, crc long, ids binary"), "ids")
+    tokens = docs.select("doc_id", "text").mapInArrow(_tokens(held, end_id, width), f"doc_id {kind}, place long, n long, crc long, ids binary")
+    ids = written(tokens, "ids")
     counted = ids.select("ids").mapInArrow(_histogram(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary size at most
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     frequencies = scaled_frequencies(counts)
-    totals = {r["shard"]: r["n"] for r in ids.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-    starts, at = {}, 0
-    for shard in sorted(totals):
-        starts[shard], at = at, at + totals[shard]
+    shards = max(shuffle_width(spark), -(-int(counts.sum()) // SHARD_TOKENS))
     coded = spark.sparkContext.broadcast(frequencies)
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64()}[kind]
-    dealt = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "crc").select("doc_id", "shard", "ids")
-    blocks = dealt.mapInArrow(_write_blocks(coded, spark.sparkContext.broadcast(starts), arrow, width), BLOCK.format(kind))
+    order = ["doc_id", "crc", "place"]  # nulls first
+    dealt = ids.select(*order, "ids").repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    blocks = dealt.mapInArrow(_write_blocks(coded, arrow_type(docs, "doc_id"), width), BLOCK.format(kind))
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    sizes = spark.read.parquet(f"{path}/blocks").select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
+    at, starts = 0, []
+    for r in sizes.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():  # one row a shard
+        starts.append((r["shard"], at))
+        at += r["n"]
+    spark.createDataFrame(starts, "shard int, shard_start long").coalesce(1).write.parquet(f"{path}/shards")
     table = [(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)]
     spark.createDataFrame(table, "id int, frequency int").coalesce(1).write.parquet(f"{path}/frequencies")
 
@@ -245,7 +242,7 @@ def _read_blocks(table: Broadcast, kind: pa.DataType):
                 stops = np.cumsum(row["n_tokens"])
                 starts = stops - row["n_tokens"]
                 parts = [ids[a:b].tobytes() for a, b in zip(starts, stops)]
-                made = [pa.array(row["doc_ids"], kind), pa.array(row["start"] + starts, pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())]
+                made = [pa.array(row["doc_ids"], kind), pa.array(row["shard_start"] + row["start"] + starts, pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return run
@@ -256,7 +253,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     32-bit integers) of every document, decoded and held against the checksums."""
     blocks = spark.read.parquet(f"{path}/blocks")
     field = blocks.schema["doc_ids"].dataType.elementType
-    kind = field.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64()}[kind]
     held = spark.sparkContext.broadcast(frequency_table(spark, path))
-    return blocks.mapInArrow(_read_blocks(held, arrow), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
+    blocks = blocks.join(F.broadcast(spark.read.parquet(f"{path}/shards")), "shard")  # one row a shard
+    return blocks.mapInArrow(_read_blocks(held, to_arrow_type(field)), f"doc_id {field.simpleString()}, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -58,12 +58,12 @@ def test_frequencies_sum_up_and_miss_nothing():
     assert T.scaled_frequencies(np.zeros(4, np.int64)).sum() == 0
 
 
-def check(spark, docs, path, end_id=1):
+def check(spark, docs, path, end_id=1, key=0):
     T.write_token_files(docs, path, WORD_BPE, end_id)
     found = T.read_token_files(spark, path).collect()
     end = np.array([end_id], "<u4").tobytes()
     rows = [(r["doc_id"], library(r["text"] or "") + end) for r in docs.select("doc_id", "text").collect()]
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1])))
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or key, zlib.crc32(r[1])))
     at, expected = 0, []
     for doc, ids in rows:
         expected.append((doc, at, len(ids) // 4, zlib.crc32(ids), ids))
@@ -82,11 +82,23 @@ def test_no_rows_and_one_row(spark, tmp_path):
     check(spark, spark.createDataFrame([(5, "a")], "doc_id long, text string"), str(tmp_path / "one"))
 
 
+def test_ids_of_other_types(spark, tmp_path):
+    rows = [("b", "one"), ("a", "two words"), (None, "none"), ("a", "two words"), ("é", "x"), ("a", "other")]
+    check(spark, spark.createDataFrame([(r[0] or None, r[1]) for r in rows], "doc_id string, text string"), str(tmp_path / "text"), key="")
+    check(spark, spark.createDataFrame([(k % 7, f"text {k}") for k in range(40)], "doc_id smallint, text string"), str(tmp_path / "small"))
+
+
+def test_one_id_over_many_shards(spark, tmp_path):
+    check(spark, spark.createDataFrame([(5, f"the same id {k % 40}") for k in range(120)] + [(k, "x") for k in range(30)], "doc_id long, text string"), str(tmp_path / "hot"))
+    assert spark.read.parquet(f"{tmp_path}/hot/blocks").where("array_contains(doc_ids, 5L)").select("shard").distinct().count() > 1
+
+
 def test_damage_is_noticed(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"some words {k} and more of them") for k in range(50)], "doc_id long, text string")
     T.write_token_files(docs, str(tmp_path / "good"), WORD_BPE, 1)
     blocks = spark.read.parquet(str(tmp_path / "good/blocks"))
     blocks.withColumn("ids_crc32", F.col("ids_crc32").bitwiseXOR(F.lit(1))).write.parquet(str(tmp_path / "bad/blocks"))
-    spark.read.parquet(str(tmp_path / "good/frequencies")).write.parquet(str(tmp_path / "bad/frequencies"))
+    for part in ("frequencies", "shards"):
+        spark.read.parquet(str(tmp_path / "good" / part)).write.parquet(str(tmp_path / "bad" / part))
     with pytest.raises(Exception, match="checksum differs"):
         T.read_token_files(spark, str(tmp_path / "bad")).collect()
