@@ -6,7 +6,6 @@ hierarchies) run one distributed step a round, cut by a reliable checkpoint.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint(eager=True)
+from sparkloom.sources.shared import kept as _kept
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -36,8 +30,9 @@ def sort_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
 def fetch_first(df: DataFrame, n: int, order: Sequence[tuple[str, bool]], with_ties: bool = False, offset: int = 0) -> DataFrame:
     """OFFSET … FETCH FIRST n ROWS ONLY, or WITH TIES (then without offset).
 
-    With ties, the n-th row's sort key is found by a top-n, and a filter keeps
-    all rows up to it; nothing is ranked or sorted as a whole.
+    With ties, the n-th row's sort key is found by a top-n (a job of its own
+    that brings one row to the driver), and a filter keeps all rows up to it;
+    nothing is ranked or sorted as a whole.
     """
     cols = sort_columns(order)
     if not with_ties:
@@ -71,7 +66,7 @@ def quantified(df: DataFrame, left: str, op: str, right: DataFrame, every: bool,
     """``left op ANY/ALL (right)`` with three-valued logic, as column ``out``.
 
     ``right`` (one column) is summed up in one row: its least and greatest
-    value, and how many values and nulls it has.
+    value, and how many values and nulls it has; that is looked up at once.
     """
     name = right.columns[0]
     r = right.agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(name).alias("n"), F.count("*").alias("all")).first()
@@ -96,6 +91,19 @@ def quantified(df: DataFrame, left: str, op: str, right: DataFrame, every: bool,
     return df.withColumn(out, decided)
 
 
+def in_sibling_order(rows: DataFrame, siblings: DataFrame, key: str, order: str) -> DataFrame:
+    """ORDER SIBLINGS BY order: hierarchy rows (with their path of keys) in the
+    order of a walk from the roots, those of one parent by ``order``, then key.
+
+    ``siblings``: key and order of all rows. Each path's keys are replaced by
+    (order, key), by one join on the exploded paths, and sorted as an array.
+    """
+    steps = rows.select("path", F.posexplode("path").alias("__place", "__key"))
+    named = steps.join(siblings.select(F.col(key).alias("__key"), F.col(order).alias("__order")).distinct(), "__key")
+    walk = named.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("__place", F.struct("__order", "__key").alias("s")))).alias("w"))
+    return rows.join(walk.select("path", F.col("w.s").alias("__walk")), "path").orderBy("__walk").drop("__walk").select(*rows.columns)
+
+
 def connect_by(df: DataFrame, start: Column, key: str, parent: str, nocycle: bool = False, max_level: int = 1000) -> DataFrame:
     """START WITH … CONNECT BY PRIOR key = parent.
 
@@ -172,29 +180,146 @@ def ordered_array(value: Column, *order: Column) -> Column:
     return F.transform(rows, lambda r: r["v"])
 
 
-def ratio_to_report(value: Column, *partition: str) -> Column:
-    return value / F.sum(value).over(W.partitionBy(*partition))
+def _back(df: DataFrame, by: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``by`` (one row for each value of ``keys``, null too) joined to ``df``."""
+    other = by.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(other, same).drop(*(f"__{k}" for k in keys)) if keys else df.crossJoin(F.broadcast(by))  # one row
+
+
+def with_ratio_to_report(df: DataFrame, value: str, out: str, *partition: str) -> DataFrame:
+    """RATIO_TO_REPORT(value) OVER (PARTITION BY partition), as a sum by partition
+    joined back: no partition is gathered in one task."""
+    total = df.groupBy(*partition).agg(F.sum(value).alias("__total"))
+    return _back(df, total, partition).withColumn(out, F.col(value) / F.nullif(F.col("__total"), F.lit(0).cast(df.schema[value].dataType))).drop("__total")
+
+
+def with_count_distinct(df: DataFrame, value: str, out: str, *partition: str) -> DataFrame:
+    """COUNT(DISTINCT value) OVER (PARTITION BY partition), as a count of the
+    distinct pairs joined back."""
+    n = df.select(*partition, value).distinct().groupBy(*partition).agg(F.count(value).alias(out))
+    return _back(df, n, partition)
+
+
+def with_ranks(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[str, bool]], prefix: str = "") -> DataFrame:
+    """rank, dense_rank, percent_rank and cume_dist, as columns behind ``prefix``.
+
+    They depend on how many rows each sort key has, so only distinct keys are
+    ranked; the rows meet theirs by a join.
+    """
+    names = [c for c, _ in order]
+    keys = df.groupBy(*partition, *names).agg(F.count("*").alias("__n"))
+    by = W.partitionBy(*partition).orderBy(*sort_columns(order))
+    before = F.sum("__n").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    total = F.sum("__n").over(W.partitionBy(*partition))
+    ranked = keys.select(
+        *partition,
+        *names,
+        (before + 1).alias(f"{prefix}rank"),
+        F.row_number().over(by).cast("long").alias(f"{prefix}dense_rank"),
+        F.coalesce(F.try_divide(before.cast("double"), total - 1), F.lit(0.0)).alias(f"{prefix}percent_rank"),
+        ((before + F.col("__n")) / total).alias(f"{prefix}cume_dist"),
+    )
+    return _back(df, ranked, [*partition, *names])
+
+
+def with_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[str, bool]], out: str = "row_number", size: str | None = None) -> DataFrame:
+    """ROW_NUMBER() OVER (PARTITION BY partition ORDER BY order), for partitions of any size.
+
+    Rows are range-partitioned by partition and order, so that no task holds a
+    whole partition, and kept; each row's number is that within its task and
+    partition, and how many came before: a table of tasks and partitions, with
+    one row more than these at most. ``size``: also the rows of the partition.
+    """
+    cols = [*map(F.col, partition), *sort_columns(order)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _kept(df.repartitionByRange(parts, *cols).withColumn("__task", F.spark_partition_id()))
+    counts = rows.groupBy("__task", *partition).agg(F.count("*").alias("__n"))
+    by = W.partitionBy(*partition).orderBy("__task")
+    before = counts.select(F.col("__task").alias("__of"), *partition, (F.sum("__n").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy(*partition)).alias("__size"))
+    own = F.row_number().over(W.partitionBy("__task", *partition).orderBy(*sort_columns(order)))
+    met = _back(rows.withColumn("__own", own), before.withColumnRenamed("__of", "__task"), ["__task", *partition])
+    out_cols = [(F.col("__before") + F.col("__own")).alias(out), *([F.col("__size").alias(size)] if size else [])]
+    return met.select(*df.columns, *out_cols)
+
+
+def ntile(number: Column, size: Column, buckets: int) -> Column:
+    """NTILE(buckets), from the row's number and the rows of its partition: the first size % buckets get one more."""
+    small, more = F.floor(size / buckets), size % buckets
+    return F.when(number <= more * (small + 1), F.floor((number - 1) / (small + 1)) + 1).otherwise(more + F.floor((number - 1 - more * (small + 1)) / F.greatest(small, F.lit(1))) + 1).cast("long")
+
+
+def with_rownum(df: DataFrame, out: str = "rownum") -> DataFrame:
+    """ROWNUM: rows numbered from 1 as they come, before any ORDER BY; contiguous,
+    by counts of tasks, and without moving a row."""
+    rows = _kept(df.withColumn("__task", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id()))
+    counts = rows.groupBy("__task").agg(F.count("*").alias("__n"))  # one row a task
+    before = counts.select("__task", (F.sum("__n").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    return rows.join(F.broadcast(before), "__task").withColumn(out, F.col("__before") + F.col("__own").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, out)
+
+
+class Outer(str):
+    """A side of a join condition that is marked (+): its rows may be missing."""
+
 
+def plus_join(left: DataFrame, right: DataFrame, conditions: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """FROM left, right WHERE left.a op right.b(+) AND …: an outer join that keeps
+    the side without a mark.
+
+    ``conditions``: (left column or value, operator, right column), the marked
+    one an ``Outer``; all marks must be on one side. Without marks it is an inner
+    join. A condition on the marked side alone (None as the other) joins too.
+    """
+    marks = {side for a, _, b in conditions for side, x in (("left", a), ("right", b)) if isinstance(x, Outer)}
+    if len(marks) > 1:
+        raise ValueError("(+) on both sides of a join")
+    ops = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    met = F.lit(True)
+    for a, op, b in conditions:
+        x = left[str(a)] if a in left.columns else F.lit(a)
+        y = right[str(b)] if b in right.columns else F.lit(b)
+        met = met & ops[op](x, y)
+    return left.join(right, met, {"left": "right", "right": "left"}[marks.pop()] if marks else "inner")
 
-def count_distinct_over(value: Column, *partition: str) -> Column:
-    """COUNT(DISTINCT value) OVER (PARTITION BY partition), by two ranks: no set is collected."""
-    up = W.partitionBy(*partition)
-    ranked = F.dense_rank().over(up.orderBy(value.asc_nulls_first())) + F.dense_rank().over(up.orderBy(value.desc_nulls_last())) - 1
-    return ranked - F.max(value.isNull().cast("int")).over(up)
 
+def order_using(df: DataFrame, *keys: tuple[str, str]) -> DataFrame:
+    """ORDER BY column USING < or >."""
+    return df.orderBy(*sort_columns([(c, {"<": False, ">": True}[op]) for c, op in keys]))
 
-def sampled(df: DataFrame, percent: float, seed: int) -> DataFrame:
-    """TABLESAMPLE BERNOULLI (percent) REPEATABLE (seed)."""
-    return df.sample(withReplacement=False, fraction=percent / 100, seed=seed)
 
+def sampled(df: DataFrame, percent: float, seed: int, *keys: str) -> DataFrame:
+    """TABLESAMPLE BERNOULLI (percent) REPEATABLE (seed).
+
+    With ``keys`` a row is in by a hash of these and the seed, so that the same
+    rows are however the table is stored or partitioned; else Spark draws them.
+    """
+    if not keys:
+        return df.sample(withReplacement=False, fraction=percent / 100, seed=seed)
+    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed))))
+    return df.where(F.substring(digest, 1, 8) < F.lit(f"{int(min(percent, 100) / 100 * (1 << 32)):08x}")) if percent < 100 else df
 
-def range_join(left: DataFrame, right: DataFrame, at: str, lo: str, hi: str, width: float) -> DataFrame:
+
+def range_join(left: DataFrame, right: DataFrame, at: str, lo: str, hi: str, width: float, coarser: int = 64) -> DataFrame:
     """Rows of ``left`` in the half-open range [lo, hi) of ``right``: an
-    equi-join on buckets of ``width``, instead of a comparison of all rows."""
-    bucket = F.floor(F.col(at) / width)
-    ranges = right.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    met = left.withColumn("__bucket", bucket).join(ranges, "__bucket")
-    return met.where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__bucket")
+    equi-join on buckets, instead of a comparison of all rows.
+
+    Ranges are put into buckets of ``width``, those wider than ``coarser``
+    buckets into buckets that are ``coarser`` times as wide, and so on, so that
+    no range takes over ``coarser + 2`` rows. A left row asks once for each
+    width that occurs among the ranges, at most eleven.
+    """
+    span = F.greatest(F.col(hi) - F.col(lo), F.lit(0)).cast("double") / width
+    level = F.least(F.lit(10), F.greatest(F.lit(0), F.ceil(F.log(span / coarser) / F.log(F.lit(float(coarser)))).cast("int")))
+    level = F.when(span <= coarser, 0).otherwise(level)
+    size = F.lit(float(width)) * F.pow(F.lit(float(coarser)), F.col("__level"))
+    ranges = right.where(F.col(lo) < F.col(hi)).withColumn("__level", level)
+    levels = [r[0] for r in ranges.select("__level").distinct().collect()]  # eleven rows at most
+    ranges = ranges.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))))
+    asked = left.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("__bucket", F.floor(F.col(at) / size))
+    met = asked.join(ranges, ["__level", "__bucket"])
+    return met.where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__bucket", "__level")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence[str]) -> DataFrame:

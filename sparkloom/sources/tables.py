@@ -48,6 +48,12 @@ def partition(df: DataFrame, column: str, value: object) -> DataFrame:
     return df.where(F.col(column) == F.lit(value))
 
 
+def overwrite_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Writes to a partitioned table, over the partitions that ``df`` has rows
+    of and no others: DML on PARTITION (p), or a statement that changed some."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def text_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """path, content of whole files: scripts, mapper XML, Java sources."""
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("content"))
