@@ -83,32 +83,41 @@ def with_statistics(docs: DataFrame, text: str = "text", statistics=STATISTICS,
     optimizer computes each once, and those that nothing uses not at all.
     """
     c = lambda n: F.col(prefix + n)
-    count = lambda chars: F.length(c("text")) - F.length(F.translate(c("text"), chars, ""))
+    # One-byte characters, by the bytes that are missing without them: plain searches, no pattern.
+    count = lambda chars: F.octet_length(c("text")) * len(chars) - sum((F.octet_length(F.replace(c("text"), F.lit(x), F.lit(""))) for x in chars), F.lit(0))
     of_class = lambda pattern: F.length(c("text")) - F.length(F.regexp_replace(c("text"), pattern, ""))
     d = docs.withColumn(prefix + "text", F.coalesce(F.col(text), F.lit("")))
+    spaced = c("text")
+    for x in _BREAKS:
+        spaced = F.replace(spaced, F.lit(x), F.lit(" "))
     d = d.withColumns({
-        prefix + "words": F.array_remove(F.split(F.translate(c("text"), _BREAKS, " " * len(_BREAKS)), " ", -1), ""),
-        prefix + "lines": F.filter(F.split(c("text"), "\n", -1), lambda x: F.translate(x, " " + _BREAKS, "") != ""),
+        prefix + "words": F.array_remove(F.split(spaced, " ", -1), ""),
+        prefix + "lines": F.filter(F.split(c("text"), "\n", -1), lambda x: F.btrim(x, F.lit(" " + _BREAKS)) != ""),
     })
     w = c("words")
     windows = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     d = d.withColumns({
         prefix + "n_words": F.size(w),
-        prefix + "word_chars": F.length(F.translate(c("text"), " " + _BREAKS, "")),
+        prefix + "word_chars": F.length(c("text")) - count(" " + _BREAKS),
         prefix + "n_lines": F.size(c("lines")),
         prefix + "n_dup": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
         prefix + "n_symbols": count("#*$%&|<>"),
         prefix + "windows": windows,
     })
-    # Windows with their places, sorted, so that equal ones are neighbours; only where some repeat.
-    placed = F.sort_array(F.transform(c("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn(prefix + "placed", F.when(F.size(F.array_distinct(c("windows"))) < F.size(c("windows")), placed))
-    same = lambda k: F.coalesce(F.get(c("placed"), k)["h"] == F.get(c("placed"), k + 1)["h"], F.lit(False))
-    twice = F.filter(F.sequence(F.lit(0), F.size(c("placed")) - 1), lambda k: same(k) | same(k - 1))
-    places = F.sort_array(F.transform(twice, lambda k: F.get(c("placed"), k)["i"]))
+    # Hash and place of each window in one number, sorted, so that equal ones are neighbours; only where some repeat.
+    # The place takes the low bits that the number of windows needs; whole hashes are compared where the rest agrees.
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(c("windows"))))) - 1
+    d = d.withColumn(prefix + "low", F.when(F.size(F.array_distinct(c("windows"))) < F.size(c("windows")), low))
+    placed = F.sort_array(F.transform(c("windows"), lambda h, i: h.bitwiseAND(F.bitwise_not(c("low"))).bitwiseOR(i.cast("long"))))
+    d = d.withColumn(prefix + "placed", F.when(c("low").isNotNull(), placed))
+    place = lambda k: F.get(c("placed"), k).bitwiseAND(c("low")).cast("int")
+    same = lambda x, k: (x.bitwiseXOR(F.get(c("placed"), k + 1)) <= c("low")) & (x.bitwiseXOR(F.get(c("placed"), k + 1)) >= 0) & (F.get(c("windows"), place(k)) == F.get(c("windows"), place(k + 1)))
+    # Neighbours that are equal give both their places; each place once, in order.
+    pairs = F.flatten(F.array_compact(F.transform(c("placed"), lambda x, k: F.when(same(x, k), F.array(place(k), place(k + 1))))))
+    d = d.withColumn(prefix + "places", F.when(c("placed").isNotNull(), F.sort_array(F.array_distinct(pairs))))
     begin = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate(places, begin, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    d = d.withColumn(prefix + "n_repeat", F.when(c("placed").isNull(), 0).otherwise(covered))
+    covered = F.aggregate(c("places"), begin, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
+    d = d.withColumn(prefix + "n_repeat", F.coalesce(covered, F.lit(0)))
     values = {
         "n_words": lambda: c("n_words").cast("double"),
         "mean_word": lambda: _share(c("word_chars"), c("n_words")),
