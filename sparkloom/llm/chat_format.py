@@ -118,11 +118,25 @@ def format_conversations(events: DataFrame, loss_role: str = "assistant") -> Dat
     return render(fold_events(events), loss_role)
 
 
-def table_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as an event log.
+#: Characters of one streamed piece.
+PIECE = 1000
+
+
+def table_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as the log of how they came:
+    a message with a first draft (its beginning), a regenerate that drops it, and the
+    text as deltas of ``piece`` characters.
 
     Rows that share conversation and turn stay messages of their own, in order
-    of role and text.
+    of role and text: a message is known by turn and place among these. Only
+    rows of one turn are brought together before the fold.
     """
-    by = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.row_number().over(by).alias("message"), F.lit("message").alias("kind"), "role", "text")
+    by = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    message = F.struct("turn", F.row_number().over(by).alias("nth"))
+    n = F.coalesce(F.ceil(F.length("text") / piece), F.lit(0)).cast("int")
+    event = lambda seq, kind, text: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    deltas = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: event(i + 2, "delta", F.substring("text", i * piece + 1, F.lit(piece)))))
+    first = F.array(event(F.lit(0), "message", F.left("text", F.lit(8))), event(F.lit(1), "regenerate", F.lit("")))
+    log = F.concat(first, F.coalesce(deltas, F.slice(first, 1, 0)))
+    known = conversations.select("conv_id", "turn", "role", "text", message.alias("message"))
+    return known.select("conv_id", "message", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "message", "e.kind", "role", "e.text")
