@@ -1,5 +1,6 @@
 """Quality rules and classifier: statistics by brute force, rules on planted faults, held-out accuracy."""
 
+import math
 import random
 import re
 import zlib
@@ -120,6 +121,81 @@ def test_scores_without_both_labels(spark, condition, share):
     assert len(got) == 1 and (got == {0.5} if share == 0.5 else (min(got) > 0.9 if share else max(got) < 0.1))
 
 
+def test_classifier_query_on_held_out_labels(spark):
+    """Of the held-out labelled documents of sf0.01, good ones score higher than bad ones."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = [(r["score"], labels[r["doc_id"]]) for r in Q.op4_quality_classifier(spark, folder).collect() if r["held_out"] and labels.get(r["doc_id"]) in (0, 1)]
+    good, bad = ([s for s, y in found if y == k] for k in (1, 0))
+    assert len(bad) > 5 and sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+    assert sum(s >= 0.3 for s in good) / len(good) > 0.95
+
+
+def test_null_and_repeated_ids_are_scored(spark, tmp_path):
+    docs, labels = labelled(spark, 60)
+    docs.union(spark.createDataFrame([(None, "no id"), (1, None), (1, None)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found = Q.op4_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(found) == 63 and [r["held_out"] for r in found if r["doc_id"] is None] == [False]
+
+
+def plain_rules(rows, cuts, weight, names):
+    """Sequential covering over rows (part, label, statistics), with loops."""
+    share = lambda p, n: math.log2(p / (p + n))
+    weigh = lambda some, part, label: sum(weight[label] for r in some if r[:2] == (part, label))
+    rules, left, barred = [], rows, set()
+    while len(rules) < 10:
+        grown, chosen = [], left
+        while len(grown) < 3:
+            p, n = weigh(chosen, "grow", 0), weigh(chosen, "grow", 1)
+            if not p or not n:
+                break
+            best = (1e-9, None, None)
+            for k, name in enumerate(names):
+                for cut in cuts[name] if grown or name not in barred else ():
+                    for above in (False, True):
+                        in_ = [r for r in chosen if (r[2][k] > cut) == above]
+                        a, b = weigh(in_, "grow", 0), weigh(in_, "grow", 1)
+                        if a >= 8 * weight[0] and a * (share(a, b) - share(p, n)) > best[0] + 1e-12:
+                            best = (a * (share(a, b) - share(p, n)), R.Condition(name, above, cut), in_)
+            if best[1] is None:
+                break
+            grown.append(best[1:])
+            chosen = best[2]
+            if not weigh(chosen, "grow", 1):
+                break
+        if not grown:
+            break
+        worth = [(weigh(c, "prune", 0) - weigh(c, "prune", 1)) / (weigh(c, "prune", 0) + weigh(c, "prune", 1) + 1e-9) for _, c in grown]
+        kept = worth.index(max(worth))
+        covers = grown[kept][1]
+        precise = [(weigh(covers, a, 0) + 1e-9) / (weigh(covers, a, 0) + weigh(covers, a, 1) + 2e-9) for a in ("grow", "prune")]
+        if min(precise) < 0.9 or not weigh(covers, "prune", 0):
+            barred.add(grown[0][0].statistic)
+            continue
+        rules.append(tuple(c for c, _ in grown[: kept + 1]))
+        barred.clear()
+        left = [r for r in left if r not in covers]
+    return rules
+
+
+def test_learner_against_a_plain_one(spark):
+    rng = random.Random(12)
+    names, weight = ["a", "b", "c"], {0: 1.0, 1: 2.0}
+    rows = []
+    for k in range(400):
+        bad = rng.random() < 0.4
+        a = rng.choice([5, 6, 7]) if bad and k % 3 else rng.choice([0, 1, 2, 5])
+        rows.append((k, 0 if bad else 1, float(a), float(rng.choice([8, 9]) if bad and k % 3 == 0 else rng.randrange(9)), float(rng.randrange(4))))
+    df = spark.createDataFrame(rows, "doc_id long, label int, a double, b double, c double")
+    part = {r["doc_id"]: "prune" if r["p"] == 0 else "grow" for r in df.selectExpr("doc_id", "pmod(xxhash64(cast(doc_id as string), 'part'), 3) AS p").collect()}
+    found = R.learn_rules(df, weight, names)
+    values = {n: sorted({r[2 + k] for r in rows}) for k, n in enumerate(names)}
+    cuts = {n: [(x + y) / 2 for x, y in zip(v, v[1:])] for n, v in values.items()}  # so few values that each is a quantile
+    want = plain_rules([(part[r[0]], r[1], r[2:], r[0]) for r in rows], cuts, weight, names)
+    assert [r.conditions for r in found] == want and len(want) >= 2
+
+
 def test_classifier_query_learns_from_training_rows_only(spark, sf_dir):
     found = Q.op4_quality_classifier(spark, sf_dir).collect()
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
