@@ -323,11 +323,22 @@ def range_join(left: DataFrame, right: DataFrame, at: str, lo: str, hi: str, wid
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the last right row of its key at or before it: one
-    union, one shuffle by key, one running window."""
+    """Each left row with the last right row of its key at or before it.
+
+    One union, range-partitioned by key and time, so that a key of any size is
+    spread over tasks, and kept. A running window finds the last right row
+    within a task; what tasks before it leave behind for the key comes from a
+    table of one row a task and key.
+    """
     cols = [c for c in left.columns if c not in (key, at)]
-    a = left.select(key, at, F.lit(1).alias("__side"), *cols, *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values), F.lit(None).cast("boolean").alias("__hit"))
-    b = right.select(key, at, F.lit(0).alias("__side"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), *(F.col(v).alias(f"__{v}") for v in values), F.lit(True).alias("__hit"))
-    by = W.partitionBy(key).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
-    row = F.last(F.when(F.col("__hit"), F.struct(*(F.col(f"__{v}").alias(v) for v in values))), ignorenulls=True).over(by)
-    return a.union(b).withColumn("__row", row).where("__side = 1").select(key, at, *cols, *(F.col("__row")[v].alias(v) for v in values))
+    a = left.select(key, at, F.lit(1).alias("__side"), *cols, *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values))
+    b = right.select(key, at, F.lit(0).alias("__side"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), *(F.col(v).alias(f"__{v}") for v in values))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _kept(a.union(b).where(F.col(at).isNotNull() | (F.col("__side") == 1)).repartitionByRange(parts, key, at, "__side").withColumn("__task", F.spark_partition_id()))
+    found = F.when(F.col("__side") == 0, F.struct(*(F.col(f"__{v}").alias(v) for v in values)))
+    by = W.partitionBy("__task", key).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
+    ends = rows.groupBy("__task", key).agg(F.max_by(found, F.when(F.col("__side") == 0, F.col(at))).alias("__end"))
+    before = ends.withColumn("__left", F.last("__end", ignorenulls=True).over(W.partitionBy(key).orderBy("__task").rowsBetween(W.unboundedPreceding, -1))).drop("__end")
+    met = _back(rows.withColumn("__row", F.last(found, ignorenulls=True).over(by)), before, ["__task", key])
+    row = F.when(F.col(key).isNotNull() & F.col(at).isNotNull(), F.coalesce("__row", "__left"))
+    return met.where("__side = 1").withColumn("__row", row).select(key, at, *cols, *(F.col("__row")[v].alias(v) for v in values))

@@ -98,6 +98,15 @@ def test_range_join_of_wide_ranges(spark):
     assert rows(R.range_join(left, right.limit(0), "at", "lo", "hi", 8)) == []
 
 
+def test_asof_join_of_a_hot_key(spark):
+    rng = random.Random(7)
+    left = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(50)]), k) for k in range(200)]
+    right = [(k, t, f"{k}{t}") for k, t in {(rng.choice(["a", "b", "c", None]), rng.randrange(50)) for _ in range(40)}] + [("b", None, "x")]
+    found = rows(R.asof_join(spark.createDataFrame(left, "k string, t int, n int"), spark.createDataFrame(right, "k string, t int, v string"), "k", "t", ["v"]))
+    last = lambda k, t: max(((u, v) for j, u, v in right if j == k and u is not None and t is not None and u <= t), default=(0, None))[1] if k else None
+    assert found == sorted([(k, t, n, last(k, t)) for k, t, n in left], key=str)
+
+
 def test_plus_joins(spark):
     a, b = spark.createDataFrame([(1, 5), (2, 6), (None, 7)], "x int, v int"), spark.createDataFrame([(1, 9), (3, 8)], "y int, w int")
     assert rows(R.plus_join(a, b, [("x", "=", R.Outer("y"))]).select("x", "y")) == sorted([(1, 1), (2, None), (None, None)], key=str)
