@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -260,6 +261,37 @@ def with_rownum(df: DataFrame, out: str = "rownum") -> DataFrame:
     return rows.join(F.broadcast(before), "__task").withColumn(out, F.col("__before") + F.col("__own").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, out)
 
 
+def custom_aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], step: Callable, finish: Callable, state: str, result: str, parts: int = 16) -> DataFrame:
+    """CREATE AGGREGATE with a state that merges by addition.
+
+    ``step``: a pandas frame of ``values`` to the numbers of ``state`` (a column
+    list in DDL). Each task adds up what it holds of a key, so a key of any size
+    is one row a task in the shuffle; ``finish``: the summed state columns to
+    the result, as a Column. Tasks hold at most one state a key and batch.
+    """
+    names = [c.split()[0] for c in state.split(",")]
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for frame in batches:
+            if len(frame):
+                found = frame.groupby(list(keys), dropna=False, sort=False)[list(values)].apply(lambda g: pd.Series(step(g), index=names))
+                yield found.reset_index()[[*keys, *names]]
+
+    states = df.select(*keys, *values).mapInPandas(run, f"{kinds}, {state}")
+    summed = states.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
+    return summed.select(*keys, finish(*map(F.col, names)).alias(result))
+
+
+def predict_by(df: DataFrame, model, features: Sequence[str], out: str) -> DataFrame:
+    """PREDICT BY model (FEATURES …): the prediction of a fitted pyspark.ml model as a column."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep").transform(df)
+    found = model.setFeaturesCol("__features").setPredictionCol(out).transform(rows)
+    return found.select(*df.columns, out)
+
+
 class Outer(str):
     """A side of a join condition that is marked (+): its rows may be missing."""
 

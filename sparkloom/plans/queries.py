@@ -321,6 +321,22 @@ def bool_and_bits(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.bool_and(F.col("l_quantity") > 1).alias("all_many"), F.bool_or(F.col("l_discount") > 0.09).alias("some_cheap"), F.bit_or("l_linenumber").alias("bits"), F.bit_and("l_linenumber").alias("common"), F.any_value("l_returnflag").alias("flag"))
 
 
+@query("SELECT p_brand, count(p_retailprice) / sum(1 / p_retailprice) AS harmonic FROM part GROUP BY p_brand")
+def custom_aggregate(spark, d):
+    step = lambda g: [len(g), (1 / g["p_retailprice"]).sum()]
+    return R.custom_aggregate(table(spark, d, "part").where("p_retailprice IS NOT NULL"), ["p_brand"], ["p_retailprice"], step, lambda n, total: n / total, "n long, total double", "harmonic")
+
+
+@query("SELECT p_partkey, round(p_size * (SELECT regr_slope(p_retailprice, p_size) FROM part) + (SELECT regr_intercept(p_retailprice, p_size) FROM part), 4) AS predicted FROM part")
+def predict_by(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    model = LinearRegression(featuresCol="f", labelCol="p_retailprice", solver="normal").fit(VectorAssembler(inputCols=["p_size"], outputCol="f").transform(part))
+    return R.predict_by(part, model, ["p_size"], "p").select("p_partkey", F.round("p", 4).alias("predicted"))
+
+
 # Windows
 
 
@@ -767,6 +783,25 @@ def partition_dml(spark, d):
     return spark.read.schema(made.schema).parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+@query("SELECT p_partkey, p_name, p_size, nullif(p_brand, 'Brand#11') AS brand FROM part")
+def json_export(spark, d):
+    path = scratch_path(spark, "json")
+    T.export(table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.nullif(F.col("p_brand"), F.lit("Brand#11")).alias("brand")), path)
+    return spark.read.schema("p_partkey long, p_name string, p_size int, brand string").json(path)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'GB18030' ELSE 'UTF-8' END AS encoding, CASE WHEN p_partkey % 4 = 3 THEN p_name ELSE p_name || ' 喆镕—名' END AS text FROM part")
+def decoded_bytes(spark, d):
+    k, text = F.col("p_partkey") % 4, F.concat("p_name", F.lit(" 喆镕—名"))
+    content = F.when(k == 0, F.encode(text, "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(k == 2, F.unhex(F.concat(F.hex("p_name"), F.lit("2086B4E946A1AAC3FB")))).otherwise(F.encode("p_name", "UTF-8"))
+    return table(spark, d, "part").select("p_partkey", T.decoded(content).alias("r")).select("p_partkey", "r.encoding", "r.text")
+
+
+@query("SELECT s_suppkey, CAST(100 + 5 * (row_number() OVER () - 1) AS BIGINT) AS id FROM supplier")
+def sequence_values(spark, d):
+    return T.nextval(table(spark, d, "supplier").select("s_suppkey"), "id", 100, 5)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR) || '|' || '17'), 1, 8) < '1999999a'")
 def table_sample(spark, d):
     return R.sampled(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 10.0000000001, 17, "o_orderkey")
@@ -950,6 +985,13 @@ def sql_transactions(spark, d):
     return S.transactions(_statements(spark, d))
 
 
+@query("""SELECT p_partkey AS id, function, CAST(n AS INTEGER) AS n_arguments, finding FROM part, (VALUES (0, 'nvl', 1, 'requires exactly 2'), (0, 'substr', 1, 'requires at least 2'), (1, 'bit_and', 2, 'requires exactly 1'), (1, 'now', 1, 'takes no arguments'), (1, 'instr', 5, 'takes at most 4')) v(t, function, n, finding) WHERE p_partkey % 3 = t""")
+def sql_function_arity(spark, d):
+    texts = ["SELECT nvl(upper(p_name)), SUBSTR ( a ), coalesce(a, (b + c), f(1, 2)) FROM t WHERE x IN (1, 2) AND y = 'nvl(1)'", "SELECT dbe_raw.bit_and(a, b), now(1), instr(a, b, 1, greatest(2, 3), 4) FROM t JOIN u ON (a = b)", "SELECT round(a, 2), mod(length(b), 3), concat(a, b, c, d), nvl2(a, b, c) /* nvl(1) */ FROM t"]
+    sql = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return S.arity_findings(table(spark, d, "part").select(F.col("p_partkey").alias("id"), sql.alias("sql"))).drop("sql")
+
+
 @query("""SELECT p_partkey AS id, '"T;' || p_partkey || '"' AS table_name, CAST(place AS INTEGER) AS place, column_name, type FROM part,
   (VALUES (1, 'id', 'integer'), (2, 'price', 'numeric(10,2)'), (3, '"Odd, one"', 'varchar(20)'), (4, 'at', 'timestamp with time zone')) v(place, column_name, type)""")
 def sql_table_columns(spark, d):

@@ -301,6 +301,42 @@ def lint_summary(findings: DataFrame) -> DataFrame:
 
 
 _NAME = r"(?:\"[^\"]++\"|`[^`]++`|[a-z_][\w$]*+)(?:\.(?:\"[^\"]++\"|`[^`]++`|[a-z_][\w$]*+))*+"
+#: Least and most numbers of arguments of functions (fixed values); None: no end.
+ARITIES: dict[str, tuple[int, int | None]] = {
+    "abs": (1, 1), "ceil": (1, 1), "floor": (1, 1), "sqrt": (1, 1), "exp": (1, 1), "ln": (1, 1), "sign": (1, 1), "mod": (2, 2), "power": (2, 2), "log": (1, 2), "round": (1, 2), "trunc": (1, 2), "greatest": (1, None), "least": (1, None),
+    "upper": (1, 1), "lower": (1, 1), "initcap": (1, 1), "length": (1, 1), "substr": (2, 3), "substring": (2, 3), "replace": (2, 3), "translate": (3, 3), "instr": (2, 4), "lpad": (2, 3), "rpad": (2, 3), "ltrim": (1, 2), "rtrim": (1, 2), "concat": (1, None), "concat_ws": (2, None), "split_part": (3, 3), "repeat": (2, 2), "reverse": (1, 1),
+    "regexp_replace": (2, 6), "regexp_substr": (2, 4), "regexp_like": (2, 3), "to_char": (1, 2), "to_date": (1, 2), "to_number": (1, 2), "add_months": (2, 2), "months_between": (2, 2), "last_day": (1, 1), "next_day": (2, 2),
+    "nvl": (2, 2), "nvl2": (3, 3), "decode": (3, None), "coalesce": (1, None), "nullif": (2, 2), "bit_and": (1, 1), "bit_or": (1, 1), "now": (0, 0),
+}
+CALL_DEPTH = 8
+
+
+def function_calls(rows: DataFrame, sql: str = "sql", depth: int = CALL_DEPTH) -> DataFrame:
+    """One row per call of a named function: columns of ``rows``, function (the
+    last part of its name), n_arguments. Calls are found from the inside out, ``depth`` deep."""
+    call = r"\b(?<![.\w])((?:[a-z_]\w*+\.)*+[a-z_]\w*+) ?\(([^()]*+)\)|\(([^()]*+)\)"
+    once = rows.select(*rows.columns, F.explode(F.array(masked(F.col(sql)))).alias("__t0"))
+    for k in range(depth):
+        once = once.withColumn(f"__t{k + 1}", F.regexp_replace(f"__t{k}", call, " x "))
+    found = F.flatten(F.array(*(F.regexp_extract_all(f"__t{k}", F.lit(call), F.lit(0)) for k in range(depth))))
+    out = once.select(*rows.columns, F.explode(F.filter(found, lambda c: c.rlike("^[a-z_]"))).alias("__c"))
+    inside = F.trim(F.regexp_extract("__c", r"\((.*)\)$", 1))
+    n = F.when(inside == "", 0).otherwise(F.length(inside) - F.length(F.replace(inside, F.lit(","), F.lit(""))) + 1)
+    named = out.select(*rows.columns, F.regexp_extract("__c", r"(\w+) ?\(", 1).alias("function"), n.alias("n_arguments"))
+    return named.where(~F.col("function").isin("in", "values", "and", "or", "on", "using", "as", "any", "all", "some", "exists", "over", "by", "set", "into", "where", "when", "then", "case", "not", "is", "select", "from", "join", "table"))
+
+
+def arity_findings(rows: DataFrame, sql: str = "sql", arities: dict[str, tuple[int, int | None]] = ARITIES) -> DataFrame:
+    """Calls with too few or too many arguments: columns of ``rows``, function,
+    n_arguments, finding. Functions that aren't listed give none."""
+    listed = F.create_map(*(x for name, (a, b) in arities.items() for x in (F.lit(name), F.struct(F.lit(a).alias("least"), F.lit(b).cast("int").alias("most")))))
+    calls = function_calls(rows, sql).withColumn("__a", F.try_element_at(listed, F.col("function")))
+    a, n = F.col("__a"), F.col("n_arguments")
+    number = lambda text, x: F.concat(F.lit(text), x.cast("string"))
+    told = F.when((a.most == 0) & (n > 0), F.lit("takes no arguments")).when((a.least == a.most) & (n != a.least), number("requires exactly ", a.least)).when(n < a.least, number("requires at least ", a.least)).when(n > a.most, number("takes at most ", a.most))
+    return calls.withColumn("finding", told).where(F.col("finding").isNotNull()).drop("__a")
+
+
 _COMMA = "\uE000"
 _LISTED = rf"{_NAME}(?: (?:as )?{_NAME})?+ ?, ?"
 

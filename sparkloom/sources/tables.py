@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: COPY option names and those of Spark's reader and writer.
@@ -28,6 +29,18 @@ def copy_from(spark: SparkSession, path: str, schema: str, **options: str) -> Da
     return spark.read.schema(schema).options(**{COPY_OPTIONS[k]: v for k, v in options.items()}).csv(path)
 
 
+def export(df: DataFrame, path: str, kind: str = "json") -> None:
+    """Rows as files: json (a row a line), csv (with a header), or text (one column)."""
+    {"json": df.write.mode("overwrite").json, "csv": df.write.mode("overwrite").option("header", True).csv, "text": df.write.mode("overwrite").text}[kind](path)
+
+
+def nextval(df: DataFrame, out: str, start: int = 1, step: int = 1) -> DataFrame:
+    """A sequence's NEXTVAL for each row: contiguous, in the order of the rows as they come."""
+    from sparkloom.operators.relational import with_rownum
+
+    return with_rownum(df, out).withColumn(out, (F.col(out) - 1) * step + start)
+
+
 def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1, name: str = "generate_series") -> DataFrame:
     """Rows from start to stop, both included; made on the executors."""
     return spark.range(start, stop + (1 if step > 0 else -1), step).withColumnRenamed("id", name)
@@ -54,6 +67,37 @@ def overwrite_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def text_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """path, content of whole files: scripts, mapper XML, Java sources."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("content"))
+#: Encodings of SQL files in the order in which they are tried (fixed values).
+ENCODINGS = ["UTF-8", "EUC-JP", "EUC-KR", "GB18030", "BIG5"]
+
+
+def decoded(content: Column) -> Column:
+    """Struct (text, encoding) of a file's bytes: by byte order mark, else the
+    first encoding in which they are valid; else UTF-8 with marks for what isn't."""
+
+    def one(data: bytes | None) -> tuple[str | None, str | None]:
+        if data is None:
+            return None, None
+        for mark, name in ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
+            if data.startswith(mark):
+                return data[2:].decode(name, "replace"), name
+        for name in ENCODINGS:
+            try:
+                return data.decode(name), name
+            except UnicodeDecodeError:
+                pass
+        return data.decode("UTF-8", "replace"), "UTF-8-lossy"
+
+    @F.pandas_udf("text string, encoding string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for contents in batches:
+            yield pd.DataFrame([one(c) for c in contents], columns=["text", "encoding"])
+
+    return run(content)
+
+
+def text_files(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """path, content of whole files: scripts, mapper XML, Java sources; the
+    encoding is looked for unless it is given."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", (F.decode("content", encoding) if encoding else decoded(F.col("content"))["text"]).alias("content"))
