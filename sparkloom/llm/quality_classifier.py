@@ -15,8 +15,9 @@ dictionaries (``dictionary_bytes`` each at most) go to all tasks.
 Defined cases: null and empty texts score like a text of which nothing is
 known, the curve's value at 0; with labels of one kind only, or none, every
 text has the share of label 1 (0.5 without labels) as its score; labels of
-documents that aren't there count for nothing; repeated rows score alike; an empty table gives no rows; other columns pass through
-``keep_good`` whatever their names.
+documents that aren't there count for nothing; repeated rows score alike; an
+empty table gives no rows; other columns pass through ``keep_good`` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm._common import checkpointed, free_names
 from sparkloom.llm.labelled import document_labels, sampled, with_sample
 
-PER_CLASS, BLOCKS, BLOCK, DICTIONARY_BYTES = 3000, 6000, 512, 1 << 16
+PER_CLASS, BLOCKS, BLOCK, LEVEL, DICTIONARY_BYTES = 3000, 6000, 128, 3, 1 << 16
 
 
 class Model(NamedTuple):
@@ -56,8 +57,8 @@ class Compared:
         for content in (good, bad):
             if content:
                 held = zstandard.ZstdCompressionDict(content)
-                held.precompute_compress(level=1)
-                self.coders.append(zstandard.ZstdCompressor(level=1, dict_data=held, write_content_size=False, write_dict_id=False))
+                held.precompute_compress(level=LEVEL)
+                self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False))
 
     def difference(self, text: bytes | None) -> float:
         if not text or len(self.coders) < 2:
