@@ -19,8 +19,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled documents: the rules leave no bad ones to learn from."""
-    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
+    """Learns from all labelled documents: the rules leave no bad ones to learn from.
+    A document goes if bad is four times as likely as good."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), least=0.2, learn_from=table(spark, sf_dir, "documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
