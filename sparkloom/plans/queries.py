@@ -941,9 +941,16 @@ def sql_table_names(spark, d):
     return S.table_names(_statements(spark, d), "statement").drop("statement")
 
 
-@query()
+#: Tokens of a text and their kinds; @ stands for the part's key.
+TOKENS = [
+    ("SELECT", "word"), ("p_@$x", "word"), (",", "operator"), ("'it''s; @'", "string"), ('"q "" -- @"', "quoted"), ("4.5e3", "number"), ("<>", "operator"), ("#{id@}", "parameter"), ("$1", "parameter"), ("$t$ b; $$ $t$", "body"), ("/* c /* @ */ */", "comment"), ("::", "operator"), ("E'\\'x'", "string"), ("`t;@`", "quoted"), ("@", "number"), (".5", "number"), ("(", "operator"), ("-- end", "comment"),
+]
+
+
+@query(f"""SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, replace(token, '@', CAST(p_partkey AS VARCHAR)) AS token, kind FROM part, (VALUES {", ".join(f"({n}, {_quoted(t)}, {_quoted(k)})" for n, (t, k) in enumerate(TOKENS, 1))}) v(nth, token, kind)""")
 def sql_tokens(spark, d):
-    return S.tokens(_scripts(spark, d)).drop("sql")
+    text = F.replace(F.lit(" ".join(t for t, _ in TOKENS)), F.lit("@"), F.col("p_partkey").cast("string"))
+    return S.tokens(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("sql"))).drop("sql")
 
 
 def _from_templates(columns: str, *rows: tuple) -> str:
