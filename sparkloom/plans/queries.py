@@ -321,10 +321,10 @@ def bool_and_bits(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.bool_and(F.col("l_quantity") > 1).alias("all_many"), F.bool_or(F.col("l_discount") > 0.09).alias("some_cheap"), F.bit_or("l_linenumber").alias("bits"), F.bit_and("l_linenumber").alias("common"), F.any_value("l_returnflag").alias("flag"))
 
 
-@query("SELECT p_brand, count(p_retailprice) / sum(1 / p_retailprice) AS harmonic FROM part GROUP BY p_brand")
+@query("SELECT p_brand, round(count(p_retailprice) / sum(1 / p_retailprice), 6) AS harmonic FROM part GROUP BY p_brand")
 def custom_aggregate(spark, d):
     step = lambda g: [len(g), (1 / g["p_retailprice"]).sum()]
-    return R.custom_aggregate(table(spark, d, "part").where("p_retailprice IS NOT NULL"), ["p_brand"], ["p_retailprice"], step, lambda n, total: n / total, "n long, total double", "harmonic")
+    return R.custom_aggregate(table(spark, d, "part").where("p_retailprice IS NOT NULL"), ["p_brand"], ["p_retailprice"], step, lambda n, total: F.round(n / total, 6), "n long, total double", "harmonic")
 
 
 @query("SELECT p_partkey, round(p_size * (SELECT regr_slope(p_retailprice, p_size) FROM part) + (SELECT regr_intercept(p_retailprice, p_size) FROM part), 4) AS predicted FROM part")
@@ -377,11 +377,11 @@ def window_ratio(spark, d):
 
 
 @query("""SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY nullif(s_nationkey, 5) DESC NULLS LAST, s_suppkey) AS last, row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY nullif(s_nationkey, 5) NULLS FIRST, s_suppkey) AS first,
-  round(avg(s_acctbal) OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS ahead FROM supplier""")
+  max(s_acctbal) OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM supplier""")
 def window_null_order(spark, d):
     s = table(spark, d, "supplier").withColumn("g", F.col("s_nationkey") % 4).withColumn("n", F.nullif(F.col("s_nationkey"), F.lit(5)))
     w = W.partitionBy("g")
-    return s.select("s_suppkey", F.row_number().over(w.orderBy(F.col("n").desc_nulls_last(), "s_suppkey")).cast("long").alias("last"), F.row_number().over(w.orderBy(F.col("n").asc_nulls_first(), "s_suppkey")).cast("long").alias("first"), F.round(F.avg("s_acctbal").over(w.orderBy("s_suppkey").rowsBetween(0, W.unboundedFollowing)), 4).alias("ahead"))
+    return s.select("s_suppkey", F.row_number().over(w.orderBy(F.col("n").desc_nulls_last(), "s_suppkey")).cast("long").alias("last"), F.row_number().over(w.orderBy(F.col("n").asc_nulls_first(), "s_suppkey")).cast("long").alias("first"), F.max("s_acctbal").over(w.orderBy("s_suppkey").rowsBetween(0, W.unboundedFollowing)).alias("ahead"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND INTERVAL 10 MINUTE FOLLOWING) AS n FROM events")

@@ -436,8 +436,8 @@ def transactions(found: DataFrame, script: str = "id", nth: str = "nth", sql: st
     ends = F.when(head.isin("commit", "end"), "commit").when(head.isin("rollback", "abort") & ~masked(F.col(sql)).rlike(r"^rollback(?: work| transaction)? to\b"), "rollback")
     by = W.partitionBy(script).orderBy(nth).rowsBetween(W.unboundedPreceding, -1)
     rows = found.select(script, nth, ends.alias("ends"), head.isin("begin", "begin transaction", "start transaction").alias("begins"))
-    rows = rows.withColumn("transaction", F.count("ends").over(by) + 1)
-    out = rows.groupBy(script, "transaction").agg(F.min(nth).alias("first_place"), F.max(nth).alias("last_place"), F.count_if(F.col("ends").isNull() & ~F.col("begins")).alias("n"), F.coalesce(F.max("ends"), F.lit("open")).alias("ended"))
+    rows = rows.withColumn("transaction", (F.count("ends").over(by) + 1).cast("int"))
+    out = rows.groupBy(script, "transaction").agg(F.min(nth).alias("first_place"), F.max(nth).alias("last_place"), F.count_if(F.col("ends").isNull() & ~F.col("begins")).cast("int").alias("n"), F.coalesce(F.max("ends"), F.lit("open")).alias("ended"))
     return out.where((F.col("n") > 0) | (F.col("ended") != "open"))
 
 
