@@ -23,6 +23,7 @@ their names.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -67,6 +68,17 @@ class Compared:
         return (bad - good) / (bad + good)
 
 
+#: The dictionaries last used and their name, so that the tasks of a Python worker share one pair.
+_HELD: list[tuple[str, Compared]] = []
+
+
+def _shared(name: str, good: bytes, bad: bytes) -> Compared:
+    if not _HELD or _HELD[0][0] != name:
+        _HELD.clear()  # before the next is built
+        _HELD.append((name, Compared(good, bad)))
+    return _HELD[0][1]
+
+
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -76,8 +88,10 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(good: bytes, bad: bytes):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compared = Compared(good, bad)
+        compared = _shared(name, good, bad)
         for texts in batches:
             yield pd.Series([compared.difference(t) for t in texts], dtype="float64")
 
@@ -134,9 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_clas
 
 def score(model: Model, text: Column) -> Column:
     """Probability of label 1, from 0 to 1."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compared = Compared(model.good, model.bad)
+        compared = _shared(name, model.good, model.bad)
         for texts in batches:
             yield pd.Series(model.probability(np.array([compared.difference(t) for t in texts], dtype="float64")))
 
