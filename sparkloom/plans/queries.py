@@ -899,7 +899,9 @@ _FOUND = f"found AS (SELECT id, nth, code, level FROM (SELECT id, nth, unnest(st
 
 
 def _scripts(spark, d) -> DataFrame:
-    orders = table(spark, d, "orders")
+    # The scripts are much larger than the rows they are made from: as many parts as there are tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority").repartition(parts, "o_orderkey")
     text = F.element_at(F.array(*(F.lit(script) for script, _ in SCRIPTS)), (F.col("o_orderkey") % len(SCRIPTS) + 1).cast("int"))
     values = {"{k}": F.col("o_orderkey").cast("string"), "{c}": F.col("o_custkey").cast("string"), "{p}": F.floor("o_totalprice").cast("string"), "{s}": F.col("o_orderstatus"), "{y}": F.col("o_orderpriority")}
     for mark, value in values.items():

@@ -73,7 +73,8 @@ def _spans(sql: Column, code: Callable[[Column], Column], literal: Callable[[Col
 
 def _bare(code: Column) -> Column:
     """Without comments, single spaces."""
-    return F.regexp_replace(F.regexp_replace(code, _COMMENT, " "), r"\s++", " ")
+    bare = F.when(code.contains("--") | code.contains("/*"), F.regexp_replace(code, _COMMENT, " ")).otherwise(code)
+    return F.regexp_replace(bare, r"\s++", " ")
 
 
 def without_comments(sql: Column) -> Column:
