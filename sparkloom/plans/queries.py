@@ -898,10 +898,19 @@ _LEVELS = ", ".join(f"({_quoted(code)}, {_quoted(level)})" for code, level in [*
 _FOUND = f"found AS (SELECT id, nth, code, level FROM (SELECT id, nth, unnest(string_split(codes, ' ')) AS code FROM stmt) JOIN (VALUES {_LEVELS}) AS l(code, level) USING (code))"
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in as many parts as there are tasks: texts made from them are much
+    larger and dearer than the rows, which may lie in a single part of a file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def _part_keys(spark, d) -> DataFrame:
+    return _spread(table(spark, d, "part").select("p_partkey"), "p_partkey")
+
+
 def _scripts(spark, d) -> DataFrame:
-    # The scripts are much larger than the rows they are made from: as many parts as there are tasks.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority").repartition(parts, "o_orderkey")
+    orders = _spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"), "o_orderkey")
     text = F.element_at(F.array(*(F.lit(script) for script, _ in SCRIPTS)), (F.col("o_orderkey") % len(SCRIPTS) + 1).cast("int"))
     values = {"{k}": F.col("o_orderkey").cast("string"), "{c}": F.col("o_custkey").cast("string"), "{p}": F.floor("o_totalprice").cast("string"), "{s}": F.col("o_orderstatus"), "{y}": F.col("o_orderpriority")}
     for mark, value in values.items():
@@ -952,7 +961,7 @@ TOKENS = [
 @query(f"""SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, replace(token, '@', CAST(p_partkey AS VARCHAR)) AS token, kind FROM part, (VALUES {", ".join(f"({n}, {_quoted(t)}, {_quoted(k)})" for n, (t, k) in enumerate(TOKENS, 1))}) v(nth, token, kind)""")
 def sql_tokens(spark, d):
     text = F.replace(F.lit(" ".join(t for t, _ in TOKENS)), F.lit("@"), F.col("p_partkey").cast("string"))
-    return S.tokens(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("sql"))).drop("sql")
+    return S.tokens(_part_keys(spark, d).select(F.col("p_partkey").alias("id"), text.alias("sql"))).drop("sql")
 
 
 def _from_templates(columns: str, *rows: tuple) -> str:
@@ -998,14 +1007,14 @@ def sql_transactions(spark, d):
 def sql_function_arity(spark, d):
     texts = ["SELECT nvl(upper(p_name)), SUBSTR ( a ), coalesce(a, (b + c), f(1, 2)) FROM t WHERE x IN (1, 2) AND y = 'nvl(1)'", "SELECT dbe_raw.bit_and(a, b), now(1), instr(a, b, 1, greatest(2, 3), 4) FROM t JOIN u ON (a = b)", "SELECT round(a, 2), mod(length(b), 3), concat(a, b, c, d), nvl2(a, b, c) /* nvl(1) */ FROM t"]
     sql = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return S.arity_findings(table(spark, d, "part").select(F.col("p_partkey").alias("id"), sql.alias("sql"))).drop("sql")
+    return S.arity_findings(_part_keys(spark, d).select(F.col("p_partkey").alias("id"), sql.alias("sql"))).drop("sql")
 
 
 @query("""SELECT p_partkey AS id, '"T;' || p_partkey || '"' AS table_name, CAST(place AS INTEGER) AS place, column_name, type FROM part,
   (VALUES (1, 'id', 'integer'), (2, 'price', 'numeric(10,2)'), (3, '"Odd, one"', 'varchar(20)'), (4, 'at', 'timestamp with time zone')) v(place, column_name, type)""")
 def sql_table_columns(spark, d):
     ddl = F.concat(F.lit('CREATE UNLOGGED TABLE IF NOT EXISTS "T;'), F.col("p_partkey").cast("string"), F.lit('" (id INTEGER PRIMARY KEY, -- the id, or so\n price numeric(10, 2) NOT NULL, "Odd, one" varchar(20) DEFAULT \'a,b\', At timestamp with time zone, CONSTRAINT c UNIQUE (id, price)) WITH (x = 1)'))
-    return S.table_columns(table(spark, d, "part").select(F.col("p_partkey").alias("id"), ddl.alias("sql")))
+    return S.table_columns(_part_keys(spark, d).select(F.col("p_partkey").alias("id"), ddl.alias("sql")))
 
 
 @query("""SELECT 'p_' || s_suppkey AS package, 'procedure' AS kind, 'a' AS routine, CAST(1 AS INTEGER) AS n_parameters, 'missing in body' AS fault FROM supplier UNION ALL SELECT 'p_' || s_suppkey, 'procedure', 'a', 2, 'private' FROM supplier
@@ -1014,7 +1023,7 @@ def sql_package_mismatches(spark, d):
     k = F.col("s_suppkey").cast("string")
     spec = F.concat(F.lit("CREATE PACKAGE p_"), k, F.lit(" AS PROCEDURE A(x int); FUNCTION f_0 RETURN int; END"))
     body = F.concat(F.lit("CREATE OR REPLACE PACKAGE BODY p_"), k, F.lit(" IS FUNCTION f_0 RETURN int IS BEGIN RETURN 1; END; PROCEDURE a(x int, y int) IS BEGIN NULL; END; FUNCTION f_"), (F.col("s_suppkey") % 3).cast("string"), F.lit(" RETURN int IS BEGIN RETURN 1; -- PROCEDURE no\n END; END"))
-    return S.package_mismatches(S.routines(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.array(spec, body)).alias("sql"))))
+    return S.package_mismatches(S.routines(_spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.explode(F.array(spec, body)).alias("sql"))))
 
 
 @query("""SELECT p_partkey AS id, kind, statement_id, replace(sql, '@', CAST(p_partkey AS VARCHAR)) AS sql FROM part, (VALUES ('select', 'one', 'SELECT n_name, a@ FROM nation n_nationkey < #{@}'), ('delete', 'two', 'DELETE FROM nation WHERE n_nationkey > @ AND n_name = ''"''')) v(kind, statement_id, sql)""")
@@ -1022,14 +1031,14 @@ def mapper_statements(spark, d):
     k = F.col("p_partkey").cast("string")
     xml = F.concat(F.lit('<mapper namespace="m"><!-- <select id="no">SELECT 1</select> --><sql id="cols">n_name, <include refid = "more"></include></sql><sql id=\'more\'>a'), k, F.lit('</sql><select id="one">SELECT <include refid="cols"/> FROM nation <where><if test="k != null">n_nationkey &lt; #{'), k,
                    F.lit("}</if></where></select>\n<delete  id='two'><![CDATA[ DELETE FROM nation\n WHERE n_nationkey > "), k, F.lit(" ]]>AND n_name = '&quot;'</delete></mapper>"))
-    return S.mapper_statements(table(spark, d, "part").select(F.col("p_partkey").alias("id"), xml.alias("content"))).drop("content")
+    return S.mapper_statements(_part_keys(spark, d).select(F.col("p_partkey").alias("id"), xml.alias("content"))).drop("content")
 
 
 @query("""SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, replace(sql, '{k}', CAST(p_partkey AS VARCHAR)) AS sql FROM part, (VALUES (1, 'SELECT a FROM t{k} WHERE "x" = 1'), (2, 'delete from t where b = ''+'' || "+"'), (3, 'UPDATE t SET a = {k}')) v(nth, sql)""")
 def java_statements(spark, d):
     k = F.col("p_partkey").cast("string")
     java = F.concat(F.lit('class A { // "select no"\n char c = \'"\'; String s = "SELECT a " + /* x */ "FROM t'), k, F.lit(' WHERE \\"x\\" = 1"; String t = "not sql";\n String u = "delete from t" +\n "\\n where b = \'+\' || \\"+\\""; String v = """\n    UPDATE t\n    SET a = '), k, F.lit('""" ; }'))
-    return S.java_statements(table(spark, d, "part").select(F.col("p_partkey").alias("id"), java.alias("content"))).drop("content")
+    return S.java_statements(_part_keys(spark, d).select(F.col("p_partkey").alias("id"), java.alias("content"))).drop("content")
 
 
 # Whole analytical queries
