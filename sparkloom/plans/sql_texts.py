@@ -13,6 +13,7 @@ to ``NESTED`` deep; what isn't closed goes on to the end of the text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,19 @@ _NUMBER = r"[0-9]++(?:\.[0-9]*+)?+(?:[eE][+-]?[0-9]++)?+|\.[0-9]++"
 _TOKEN = rf"{_KEPT}|{_COMMENT}|[#$]\{{[^}}]*+\}}|\$[0-9]++|[A-Za-z_][A-Za-z0-9_$]*+|{_NUMBER}|<>|!=|<=|>=|\|\||::|:=|=>|[^\s]"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _has(text: Column, *marks: str) -> Column:
+    """One of ``marks`` is in the text: much cheaper than a pattern, so asked first."""
+    out = F.lit(False)
+    for m in marks:
+        out = out | text.contains(m)
+    return out
+
+
 def _starts(text: Column, *marks: str) -> Column:
     out = F.lit(False)
     for m in marks:
@@ -58,7 +72,7 @@ def _is_literal(span: Column) -> Column:
 
 
 def _is_body(span: Column) -> Column:
-    return span.rlike(r"^\$(?:[A-Za-z_][A-Za-z0-9_]*+)?+\$")
+    return span.startswith("$") & span.rlike(r"^\$(?:[A-Za-z_][A-Za-z0-9_]*+)?+\$")
 
 
 def _is_name(span: Column) -> Column:
@@ -66,15 +80,18 @@ def _is_name(span: Column) -> Column:
 
 
 def _spans(sql: Column, code: Callable[[Column], Column], literal: Callable[[Column], Column] = lambda s: s, name: Callable[[Column], Column] = lambda s: s, body: Callable[[Column], Column] = lambda s: s) -> Column:
-    """The text again, its spans changed by kind; ``code`` gets comments too."""
+    """The text again, its spans changed by kind; ``code`` gets comments too.
+    Text without quotes and dollars is one span of code."""
     change = lambda s: F.when(_is_literal(s), literal(s)).when(_is_name(s), name(s)).when(_is_body(s), body(s)).otherwise(code(s))
-    return F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(_SPAN), F.lit(0)), change), "")
+    cut = lambda text: F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0)), change), "")
+    return _let(sql, lambda text: F.when(_has(text, "'", '"', "`", "$"), cut(text)).otherwise(code(text)))
 
 
 def _bare(code: Column) -> Column:
     """Without comments, single spaces."""
-    bare = F.when(code.contains("--") | code.contains("/*"), F.regexp_replace(code, _COMMENT, " ")).otherwise(code)
-    return F.regexp_replace(bare, r"\s++", " ")
+    bare = lambda c: F.when(_has(c, "--", "/*"), F.regexp_replace(c, _COMMENT, " ")).otherwise(c)
+    spaced = lambda c: F.when(_has(c, "  ", "\t", "\n", "\x0B", "\f", "\r"), F.regexp_replace(c, r"\s++", " ")).otherwise(c)
+    return _let(bare(code), spaced)
 
 
 def without_comments(sql: Column) -> Column:
@@ -103,15 +120,23 @@ _OPENS = r"(?<!end )\b(?:case|loop)\b|(?:^|\b(?:begin|then|else|loop) )if\b"
 def _joined_blocks(pieces: Column) -> Column:
     """Pieces between semicolons to statements: those of a BEGIN … END block, a
     routine or a package are one. A routine's own BEGIN and its END make one pair."""
-    n = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("int")
+    n = lambda m, pattern, *marks: F.when(_has(m, *marks), F.regexp_count(m, F.lit(pattern)).cast("int")).otherwise(0)
 
-    def step(acc: Column, piece: Column) -> Column:
+    def counted(piece: Column) -> Column:
         m = piece["m"]
-        alone = (acc["depth"] == 0) & m.rlike(_BEGINS_TRANSACTION)
-        begins = F.when(alone, 0).otherwise(n(m, r"\bbegin\b"))
-        headers = n(m, _ROUTINE) + n(m, _DECLARES)
+        return F.struct(
+            piece["t"].alias("t"),
+            (m.startswith("begin") & m.rlike(_BEGINS_TRANSACTION)).alias("alone"),
+            n(m, r"\bbegin\b", "begin").alias("begins"),
+            (n(m, _ROUTINE, "function", "procedure") + n(m, _DECLARES, "declare")).alias("headers"),
+            (n(m, _PACKAGE, "package") + n(m, _OPENS, "case", "loop", "if") - n(m, r"\bend\b", "end")).alias("opens"),
+        )
+
+    def step(acc: Column, piece: Column) -> Column:
+        headers = piece["headers"]
+        begins = F.when((acc["depth"] == 0) & piece["alone"], 0).otherwise(piece["begins"])
         own = F.least(begins, acc["waits"] + headers)
-        depth = F.greatest(F.lit(0), acc["depth"] + headers + n(m, _PACKAGE) + begins - own + n(m, _OPENS) - n(m, r"\bend\b"))
+        depth = F.greatest(F.lit(0), acc["depth"] + headers + begins - own + piece["opens"])
         text = F.when(acc["open"] == "", piece["t"]).otherwise(F.concat(acc["open"], F.lit("; "), piece["t"]))
         closed = depth == 0
         return F.struct(
@@ -123,7 +148,9 @@ def _joined_blocks(pieces: Column) -> Column:
 
     none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit(0).alias("waits"))
     last = lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-    return F.aggregate(F.transform(pieces, lambda p: F.struct(flat(p).alias("t"), masked(p).alias("m"))), none, step, last)
+    # In two steps, so that each piece is masked and counted once.
+    texts = F.transform(pieces, lambda p: F.struct(flat(p).alias("t"), masked(p).alias("m")))
+    return F.aggregate(F.transform(texts, counted), none, step, last)
 
 
 def statements(scripts: DataFrame, sql: str = "sql") -> DataFrame:
@@ -135,7 +162,7 @@ def statements(scripts: DataFrame, sql: str = "sql") -> DataFrame:
     pieces = F.regexp_extract_all(F.col(sql), F.lit(_STATEMENT), F.lit(0))
     blocks = F.col(sql).rlike(r"(?i)\b(?:begin|declare|package|procedure|function)\b")
     found = F.when(blocks, _joined_blocks(pieces)).otherwise(F.transform(pieces, flat))
-    bare = F.transform(found, lambda s: F.regexp_replace(F.regexp_replace(s, r"^/(?: |$)", ""), r" /$", ""))
+    bare = F.transform(found, lambda s: F.when(s.startswith("/") | s.contains(" /"), F.regexp_replace(F.regexp_replace(s, r"^/(?: |$)", ""), r" /$", "")).otherwise(s))
     kept = F.filter(bare, lambda s: s != "")
     return scripts.select(*scripts.columns, F.posexplode(kept).alias("nth", "statement")).withColumn("nth", F.col("nth") + 1)
 
@@ -180,8 +207,10 @@ CATEGORIES = {
 
 def category(sql: Column) -> Column:
     """Kind of statement by its first word; behind WITH, by the first word that isn't in parentheses."""
-    text = masked(sql)
-    head = F.upper(F.regexp_extract(text, r"^\(*\s*([a-z]+)", 1))
+    return _let(masked(sql), lambda text: _let(F.struct(text.alias("t"), F.upper(F.regexp_extract(text, r"^\(*\s*([a-z]+)", 1)).alias("h")), lambda x: _category(x["t"], x["h"])))
+
+
+def _category(text: Column, head: Column) -> Column:
     out = F.when((head == "BEGIN") & ~text.rlike(_BEGINS_TRANSACTION) | (head == "DECLARE") & text.rlike(r"\bbegin\b"), "PLSQL")
     out = out.when((head == "WITH") & text.rlike(r"\) (?:insert|update|delete|merge)\b"), "DML")
     out = out.when(head.isin("SELECT", "WITH", "VALUES", "TABLE"), "DQL")
@@ -192,9 +221,9 @@ def category(sql: Column) -> Column:
 
 def fingerprint_text(sql: Column) -> Column:
     """Lower case but for quoted names, one line, literals and numbers as ?, lists of them as (?)."""
-    number = r"(?<![A-Za-z0-9_$.])(?:[0-9]++(?:\.[0-9]*+)?+(?:[eE][+-]?[0-9]++)?+|\.[0-9]++)"
+    number = r"(?=[0-9.])(?<![A-Za-z0-9_$.])(?:[0-9]++(?:\.[0-9]*+)?+(?:[eE][+-]?[0-9]++)?+|\.[0-9]++)"
     plain = _spans(sql, lambda s: F.lower(F.regexp_replace(_bare(s), number, "?")), lambda s: F.lit("?"), body=lambda s: F.lit("?"))
-    return F.trim(F.regexp_replace(plain, r"\( ?\?(?: ?, ?\?)++ ?\)", "(?)"))
+    return F.trim(_let(plain, lambda p: F.when(_has(p, "(?", "( ?"), F.regexp_replace(p, r"\( ?\?(?: ?, ?\?)++ ?\)", "(?)")).otherwise(p)))
 
 
 def fingerprints(rows: DataFrame, sql: str = "sql", place: str = "id") -> DataFrame:
@@ -208,50 +237,51 @@ class LintRule(NamedTuple):
     level: str
     pattern: str  # on the masked statement
     without: str | None = None  # and not this
+    marks: tuple[str, ...] = ()  # words parted by |; one of each of these is in every text that the rule finds
 
 
 _WHERE = r"^(?:(?!\bwhere\b).)*+\bwhere\b.*"  # from the first one on
 #: Checks that a statement's text decides; patterns over masked text.
 LINT_RULES = [
-    LintRule("select-star", "prohibition", r"\bselect (?:distinct )?\*"),
-    LintRule("lock-table", "prohibition", r"^lock table\b"),
-    LintRule("drop-cascade", "prohibition", r"^drop\b.*\bcascade\b"),
-    LintRule("no-where", "prohibition", r"^(?:update|delete)\b", r"\bwhere\b"),
-    LintRule("leading-wildcard", "prohibition", r"\bi?like '[%_]"),
-    LintRule("function-on-column", "performance", _WHERE + r"\b(?:upper|lower|substr|substring|to_char|to_date|trunc|nvl|date|abs|length)\s*\(\s*[a-z_][\w.]*[^)]*\)\s*(?:=|<|>|like|in\b|between\b)"),
-    LintRule("same-table-compare", "caution", _WHERE + r"\b([a-z_]\w*)\.[a-z_]\w* ?(?:=|<>|<=|>=|<|>) ?\1\.[a-z_]\w*"),
-    LintRule("scalar-subquery", "performance", r"^select\b(?:(?!\bfrom\b).)*+", r"^select\b(?:(?!\bfrom\b|\( ?select\b).)*+(?:\bfrom\b|$)"),
-    LintRule("not-in-subquery", "performance", r"\bnot in ?\( ?select\b|<> ?all\b"),
-    LintRule("long-in-list", "performance", r"\bin ?\((?:[^(),]++,){500}"),
-    LintRule("current-time", "performance", r"\b(?:now ?\(|current_timestamp\b|sysdate\b|localtimestamp\b)"),
-    LintRule("count-star", "performance", r"\bcount ?\( ?\*? ?\)"),
-    LintRule("function-for-case", "performance", _WHERE + r"\b(?:nvl|nvl2|decode|iif) ?\("),
-    LintRule("distinct-used", "performance", r"\bselect distinct\b"),
-    LintRule("equal-range", "performance", r"\bbetween ([0-9]+(?:\.[0-9]+)?) and \1(?![0-9.])"),
-    LintRule("update-from-no-where", "performance", r"^update\b.*\bfrom\b", r"\bwhere\b"),
-    LintRule("merge-used", "performance", r"^merge\b"),
-    LintRule("insert-select-no-columns", "performance", r"^insert into [\w.]+ select\b"),
-    LintRule("insert-many-tables", "performance", r"^insert (?:all|first)\b"),
-    LintRule("explain-used", "performance", r"^explain\b"),
-    LintRule("connect-by", "performance", r"\bconnect by\b"),
-    LintRule("order-by-ordinal", "suggestion", r"\border by [0-9]+"),
-    LintRule("insert-without-columns", "caution", r"^insert into [\w.]+ (?:values|select)\b"),
-    LintRule("or-in-where", "performance", _WHERE + r"\bor\b"),
-    LintRule("union-not-all", "performance", r"\bunion\b(?! all)"),
-    LintRule("negative-comparison", "performance", r"<>(?! ?all\b)|!="),
-    LintRule("join-without-on", "performance", r"(?<!natural )(?<!cross )\bjoin\b", r"\b(?:on|using|natural|cross)\b"),
-    LintRule("select-for-update", "caution", r"\bfor (?:update|share|no key update|key share)\b", r"\b(?:nowait|skip locked|wait [0-9]+)\b"),
-    LintRule("unlogged-table", "caution", r"^create unlogged table\b"),
-    LintRule("offset-used", "suggestion", r"\boffset [0-9:?$]"),
-    LintRule("limit-without-order", "suggestion", r"\b(?:limit|fetch (?:first|next))\b", r"\border by\b"),
-    LintRule("null-comparison", "prohibition", r"(?:=|<>|!=) ?null\b"),
-    LintRule("text-substitution", "prohibition", r"\$\{[^}]*+\}"),
-    LintRule("swallowed-exception", "caution", r"\bwhen others then\b", r"\braise\b(?! (?:debug|log|notice|info)\b)"),
-    LintRule("goto-used", "caution", r"\bgoto [a-z_]\w*"),
-    LintRule("concatenated-execute", "caution", r"\bexecute(?: immediate)? [^;]*\|\|"),
-    LintRule("insert-in-loop", "performance", r"^(?:(?!\bloop\b).)*+\bloop\b.*\binsert into\b.*\bend loop\b"),
-    LintRule("autonomous-transaction", "caution", r"\bpragma autonomous_transaction\b"),
-    LintRule("commit-in-block", "caution", r"^(?:begin\b(?! (?:work|transaction))|declare\b|create\b.*\bbegin\b).*\b(?:commit|rollback)\b"),
+    LintRule("select-star", "prohibition", r"\bselect (?:distinct )?\*", marks=("select *|select distinct *",)),
+    LintRule("lock-table", "prohibition", r"^lock table\b", marks=("lock table",)),
+    LintRule("drop-cascade", "prohibition", r"^drop\b.*\bcascade\b", marks=("cascade",)),
+    LintRule("no-where", "prohibition", r"^(?:update|delete)\b", r"\bwhere\b", marks=("update|delete",)),
+    LintRule("leading-wildcard", "prohibition", r"\bi?like '[%_]", marks=("like '%|like '_",)),
+    LintRule("function-on-column", "performance", _WHERE + r"\b(?:upper|lower|substr|substring|to_char|to_date|trunc|nvl|date|abs|length)\s*\(\s*[a-z_][\w.]*[^)]*\)\s*(?:=|<|>|like|in\b|between\b)", marks=("where", "upper|lower|substr|to_char|to_date|trunc|nvl|date|abs|length")),
+    LintRule("same-table-compare", "caution", _WHERE + r"\b([a-z_]\w*)\.[a-z_]\w* ?(?:=|<>|<=|>=|<|>) ?\1\.[a-z_]\w*", marks=("where", ".", "=|<|>")),
+    LintRule("scalar-subquery", "performance", r"^select\b(?:(?!\bfrom\b).)*+", r"^select\b(?:(?!\bfrom\b|\( ?select\b).)*+(?:\bfrom\b|$)", marks=("(select|( select",)),
+    LintRule("not-in-subquery", "performance", r"\bnot in ?\( ?select\b|<> ?all\b", marks=("not in|<>",)),
+    LintRule("long-in-list", "performance", r"\bin ?\((?:[^(),]++,){500}", marks=("in(|in (",)),
+    LintRule("current-time", "performance", r"\b(?:now ?\(|current_timestamp\b|sysdate\b|localtimestamp\b)", marks=("now|current_timestamp|sysdate|localtimestamp",)),
+    LintRule("count-star", "performance", r"\bcount ?\( ?\*? ?\)", marks=("count",)),
+    LintRule("function-for-case", "performance", _WHERE + r"\b(?:nvl|nvl2|decode|iif) ?\(", marks=("where", "nvl|decode|iif")),
+    LintRule("distinct-used", "performance", r"\bselect distinct\b", marks=("select distinct",)),
+    LintRule("equal-range", "performance", r"\bbetween ([0-9]+(?:\.[0-9]+)?) and \1(?![0-9.])", marks=("between",)),
+    LintRule("update-from-no-where", "performance", r"^update\b.*\bfrom\b", r"\bwhere\b", marks=("update", "from")),
+    LintRule("merge-used", "performance", r"^merge\b", marks=("merge",)),
+    LintRule("insert-select-no-columns", "performance", r"^insert into [\w.]+ select\b", marks=("insert into", "select")),
+    LintRule("insert-many-tables", "performance", r"^insert (?:all|first)\b", marks=("insert all|insert first",)),
+    LintRule("explain-used", "performance", r"^explain\b", marks=("explain",)),
+    LintRule("connect-by", "performance", r"\bconnect by\b", marks=("connect by",)),
+    LintRule("order-by-ordinal", "suggestion", r"\border by [0-9]+", marks=("order by",)),
+    LintRule("insert-without-columns", "caution", r"^insert into [\w.]+ (?:values|select)\b", marks=("insert into",)),
+    LintRule("or-in-where", "performance", _WHERE + r"\bor\b", marks=("where", "or")),
+    LintRule("union-not-all", "performance", r"\bunion\b(?! all)", marks=("union",)),
+    LintRule("negative-comparison", "performance", r"<>(?! ?all\b)|!=", marks=("<>|!=",)),
+    LintRule("join-without-on", "performance", r"(?<!natural )(?<!cross )\bjoin\b", r"\b(?:on|using|natural|cross)\b", marks=("join",)),
+    LintRule("select-for-update", "caution", r"\bfor (?:update|share|no key update|key share)\b", r"\b(?:nowait|skip locked|wait [0-9]+)\b", marks=("for update|for share|for no key update|for key share",)),
+    LintRule("unlogged-table", "caution", r"^create unlogged table\b", marks=("unlogged",)),
+    LintRule("offset-used", "suggestion", r"\boffset [0-9:?$]", marks=("offset",)),
+    LintRule("limit-without-order", "suggestion", r"\b(?:limit|fetch (?:first|next))\b", r"\border by\b", marks=("limit|fetch",)),
+    LintRule("null-comparison", "prohibition", r"(?:=|<>|!=) ?null\b", marks=("null",)),
+    LintRule("text-substitution", "prohibition", r"\$\{[^}]*+\}", marks=("${",)),
+    LintRule("swallowed-exception", "caution", r"\bwhen others then\b", r"\braise\b(?! (?:debug|log|notice|info)\b)", marks=("others",)),
+    LintRule("goto-used", "caution", r"\bgoto [a-z_]\w*", marks=("goto",)),
+    LintRule("concatenated-execute", "caution", r"\bexecute(?: immediate)? [^;]*\|\|", marks=("execute",)),
+    LintRule("insert-in-loop", "performance", r"^(?:(?!\bloop\b).)*+\bloop\b.*\binsert into\b.*\bend loop\b", marks=("loop", "insert into")),
+    LintRule("autonomous-transaction", "caution", r"\bpragma autonomous_transaction\b", marks=("pragma",)),
+    LintRule("commit-in-block", "caution", r"^(?:begin\b(?! (?:work|transaction))|declare\b|create\b.*\bbegin\b).*\b(?:commit|rollback)\b", marks=("begin|declare|create", "commit|rollback")),
 ]
 #: Length of a statement from which it counts as complex, and columns in ORDER BY or GROUP BY as many.
 LONG_STATEMENT, MANY_COLUMNS = 4096, 10
@@ -266,23 +296,35 @@ def _clause(text: Column, head: str) -> Column:
 
 def _uncovered_order(text: Column, covered_by_groups: bool) -> Column:
     """ORDER BY has a column that is no target name, alias or position, nor (if these count) a GROUP BY column."""
-    targets, order = _clause(text, r"select(?: distinct)?"), _clause(text, "order by")
-    names = F.array_union(F.transform(targets, lambda t: F.regexp_extract(t, r"(\w+)$", 1)), F.transform(targets, lambda t: F.regexp_replace(t, r" (?:as )?\w+$", "")))
-    names = F.array_union(names, _clause(text, "group by")) if covered_by_groups else names
+    groups = _clause(text, "group by") if covered_by_groups else F.array().cast("array<string>")
+    parts = F.struct(_clause(text, r"select(?: distinct)?").alias("targets"), _clause(text, "order by").alias("order"), groups.alias("groups"))
     bare = lambda o: F.regexp_extract(o, r"(\w+)$", 1)
-    position = lambda o: o.rlike("^[0-9]+$") & (o.try_cast("int") <= F.size(targets))
-    left = F.filter(order, lambda o: ~(F.array_contains(names, o) | F.array_contains(names, bare(o)) | F.coalesce(position(o), F.lit(False))))
-    return (F.size(order) > 0) & (F.size(left) > 0) & ~F.exists(targets, lambda t: t.rlike(r"(?:^|\.)\*$"))
+
+    def holds(p: Column, names: Column) -> Column:
+        position = lambda o: o.rlike("^[0-9]+$") & (o.try_cast("int") <= F.size(p["targets"]))
+        covered = lambda o: F.array_contains(names, o) | F.array_contains(names, bare(o)) | F.coalesce(position(o), F.lit(False))
+        return F.exists(p["order"], lambda o: ~covered(o)) & ~F.exists(p["targets"], lambda t: t.rlike(r"(?:^|\.)\*$"))
+
+    def names(p: Column) -> Column:
+        own = F.array_union(F.transform(p["targets"], bare), F.transform(p["targets"], lambda t: F.regexp_replace(t, r" (?:as )?\w+$", "")))
+        return F.array_union(own, p["groups"])
+
+    return _has(text, "order by") & _let(parts, lambda p: _let(names(p), lambda n: holds(p, n)))
+
+
+def _many(text: Column, head: str) -> Column:
+    """The clause has more than ``MANY_COLUMNS`` parts: asked only where there are as many commas."""
+    return _has(text, head) & (F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) >= MANY_COLUMNS) & (F.size(_clause(text, head)) > MANY_COLUMNS)
 
 
 #: Checks that count or compare parts of a statement, by code and level.
 COLUMN_RULES: dict[tuple[str, str], Callable[[Column], Column]] = {
-    ("many-sort-columns", "prohibition"): lambda t: (F.size(_clause(t, "order by")) > MANY_COLUMNS) | (F.size(_clause(t, "group by")) > MANY_COLUMNS),
-    ("order-by-not-distinct", "prohibition"): lambda t: t.rlike(r"^select distinct\b") & _uncovered_order(t, False),
-    ("order-by-not-grouped", "prohibition"): lambda t: t.rlike(r"^select\b.*\bgroup by\b") & _uncovered_order(t, True),
-    ("deep-subqueries", "performance"): lambda t: F.regexp_count(t, F.lit(r"\( ?select\b")) >= 3,
-    ("many-update-tables", "performance"): lambda t: t.rlike(r"^update [\w.]+(?: (?:as )?(?!set\b)\w+)?,"),
-    ("group-by-used", "performance"): lambda t: t.rlike(r"\bgroup by\b"),
+    ("many-sort-columns", "prohibition"): lambda t: _many(t, "order by") | _many(t, "group by"),
+    ("order-by-not-distinct", "prohibition"): lambda t: t.startswith("select distinct") & t.rlike(r"^select distinct\b") & _uncovered_order(t, False),
+    ("order-by-not-grouped", "prohibition"): lambda t: t.startswith("select") & _has(t, "group by") & t.rlike(r"^select\b.*\bgroup by\b") & _uncovered_order(t, True),
+    ("deep-subqueries", "performance"): lambda t: _has(t, "(select", "( select") & (F.regexp_count(t, F.lit(r"\( ?select\b")) >= 3),
+    ("many-update-tables", "performance"): lambda t: t.startswith("update ") & t.rlike(r"^update [\w.]+(?: (?:as )?(?!set\b)\w+)?,"),
+    ("group-by-used", "performance"): lambda t: _has(t, "group by") & t.rlike(r"\bgroup by\b"),
     ("long-statement", "suggestion"): lambda t: F.length(t) > LONG_STATEMENT,
 }
 
@@ -293,7 +335,8 @@ def lint(rows: DataFrame, sql: str = "sql", rules: list[LintRule] = LINT_RULES,
     # Kept apart, so that the text is masked once.
     once = rows.select(*rows.columns, F.explode(F.array(masked(F.col(sql)))).alias("__text"))
     text = F.col("__text")
-    checks = [F.when(text.rlike(r.pattern) & (~text.rlike(r.without) if r.without else F.lit(True)), finding(r.code, r.level)) for r in rules]
+    marked = lambda r: reduce(lambda out, m: out & _has(text, *m.split("|")), r.marks, F.lit(True))
+    checks = [F.when(marked(r) & text.rlike(r.pattern) & (~text.rlike(r.without) if r.without else F.lit(True)), finding(r.code, r.level)) for r in rules]
     checks += [F.when(holds(text), finding(*name)) for name, holds in column_rules.items()]
     return once.select(*rows.columns, F.explode(F.array_compact(F.array(*checks))).alias("__f")).select(*rows.columns, "__f.code", "__f.level")
 
@@ -319,12 +362,13 @@ def function_calls(rows: DataFrame, sql: str = "sql", depth: int = CALL_DEPTH) -
     call = r"\b(?<![.\w])((?:[a-z_]\w*+\.)*+[a-z_]\w*+) ?\(([^()]*+)\)|\(([^()]*+)\)"
     once = rows.select(*rows.columns, F.explode(F.array(masked(F.col(sql)))).alias("__t0"))
     for k in range(depth):
-        once = once.withColumn(f"__t{k + 1}", F.regexp_replace(f"__t{k}", call, " x "))
-    found = F.flatten(F.array(*(F.regexp_extract_all(f"__t{k}", F.lit(call), F.lit(0)) for k in range(depth))))
-    out = once.select(*rows.columns, F.explode(F.filter(found, lambda c: c.rlike("^[a-z_]"))).alias("__c"))
-    inside = F.trim(F.regexp_extract("__c", r"\((.*)\)$", 1))
-    n = F.when(inside == "", 0).otherwise(F.length(inside) - F.length(F.replace(inside, F.lit(","), F.lit(""))) + 1)
-    named = out.select(*rows.columns, F.regexp_extract("__c", r"(\w+) ?\(", 1).alias("function"), n.alias("n_arguments"))
+        left = F.col(f"__t{k}")
+        once = once.withColumn(f"__t{k + 1}", F.when(_has(left, "("), F.regexp_replace(left, call, " x ")).otherwise(left))
+    found = F.flatten(F.array(*(F.when(_has(F.col(f"__t{k}"), "("), F.regexp_extract_all(f"__t{k}", F.lit(call), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in range(depth))))
+    count = lambda inside: F.when(inside == "", 0).otherwise(F.length(inside) - F.length(F.replace(inside, F.lit(","), F.lit(""))) + 1)
+    # Made where calls are cut, so that filters on them don't search the call again.
+    each = lambda c: F.struct(F.regexp_extract(c, r"(\w+) ?\(", 1).alias("function"), _let(F.trim(F.regexp_extract(c, r"\((.*)\)$", 1)), count).alias("n_arguments"))
+    named = once.select(*rows.columns, F.explode(F.transform(F.filter(found, lambda c: c.rlike("^[a-z_]")), each)).alias("__c")).select(*rows.columns, "__c.*")
     return named.where(~F.col("function").isin("in", "values", "and", "or", "on", "using", "as", "any", "all", "some", "exists", "over", "by", "set", "into", "where", "when", "then", "case", "not", "is", "select", "from", "join", "table"))
 
 
@@ -347,14 +391,16 @@ def table_names(rows: DataFrame, sql: str = "sql") -> DataFrame:
     """One row per table named behind FROM, JOIN, INTO, UPDATE, USING or TABLE,
     comma lists included, in lower case but for quoted names; names of WITH
     queries, functions and words of EXTRACT, TRIM and the like aren't tables."""
-    text = F.trim(_spans(F.col(sql), lambda s: F.lower(_bare(s)), lambda s: F.lit("'x'"), body=lambda s: F.lit("'x'")))
-    text = F.regexp_replace(text, r"\b(extract|substring|trim|overlay|position) ?\([^()]*+\)", "$1()")
+    once = rows.select(*rows.columns, F.explode(F.array(F.trim(_spans(F.col(sql), lambda s: F.lower(_bare(s)), lambda s: F.lit("'x'"), body=lambda s: F.lit("'x'"))))).alias("__t"))
+    once = once.where(_has(F.col("__t"), "from", "join", "update", "using", "table", "into"))
+    forms = ("extract", "substring", "trim", "overlay", "position")
+    text = F.when(_has(F.col("__t"), *forms), F.regexp_replace("__t", r"\b(extract|substring|trim|overlay|position) ?\([^()]*+\)", "$1()")).otherwise(F.col("__t"))
     lists = F.regexp_extract_all(text, F.lit(rf"(?:(?<!distinct )\bfrom|\bjoin|\bupdate|\busing|\btable(?: if (?:not )?exists)?+)(?: only)? ((?:{_LISTED}){{0,200}}{_NAME})(?! ?\()|\b(?:into|table(?: if not exists)?+) ({_NAME})"), F.lit(0))
     found = F.flatten(F.transform(lists, lambda x: F.split(F.regexp_replace(x, r"^(?:from|join|update|using|into|table(?: if (?:not )?exists)?)(?: only)? ", ""), " ?, ?")))
     found = F.array_distinct(F.transform(found, lambda x: F.regexp_extract(x, rf"^({_NAME})", 1)))
-    queries = F.regexp_extract_all(text, F.lit(rf"(?:\bwith(?: recursive)?|\)? ?,) ({_NAME})(?: ?\([^()]*+\))? as (?:(?:not )?materialized )?\("), F.lit(1))
+    queries = F.when(_has(F.col("__t"), " as (", "materialized ("), F.regexp_extract_all(text, F.lit(rf"(?:\bwith(?: recursive)?|\)? ?,) ({_NAME})(?: ?\([^()]*+\))? as (?:(?:not )?materialized )?\("), F.lit(1))).otherwise(F.array().cast("array<string>"))
     words = F.lit(["select", "values", "set", "lateral", "unnest"])
-    return rows.select(*rows.columns, F.explode(F.array_except(F.array_except(found, queries), words)).alias("table_name"))
+    return once.select(*rows.columns, F.explode(F.array_except(F.array_except(found, queries), words)).alias("table_name"))
 
 
 def parameters(rows: DataFrame, sql: str = "sql") -> DataFrame:
@@ -402,13 +448,17 @@ def table_columns(ddl: DataFrame, sql: str = "sql") -> DataFrame:
     # Commas of quoted names and in parentheses, as in numeric(10,2), don't part columns: they wait as characters for private use.
     text = F.trim(_spans(F.col(sql), lambda s: F.lower(_bare(s)), lambda s: F.lit("'x'"), lambda s: F.translate(s, ",", _COMMA)))
     head = rf"^create (?:(?:global |local )?(?:temporary |temp )|unlogged |external |foreign )?table (?:if not exists )?({_NAME}) ?\("
+    others = [c for c in ddl.columns if c != sql]
+    # Kept apart, so that the text is made once.
+    made = ddl.select(*others, F.explode(F.array(text)).alias("__t")).where(F.col("__t").startswith("create ") & F.col("__t").rlike(head))
+    text = F.col("__t")
     body = F.regexp_replace(text, head, "")
     held = F.regexp_replace(body, r"\(([^(),]*+), ?([^(),]*+)\)", f"($1{_COMMA}$2)")
     parts = F.filter(F.transform(F.split(F.regexp_replace(held, r"\)[^)]*+$", ""), ","), lambda x: F.trim(x)), lambda p: p.rlike(rf"^{_NAME} ") & ~p.rlike(r"^(?:constraint|primary|unique|foreign|check|like|exclude|key|index)\b"))
-    made = ddl.where(text.rlike(head)).select(*(c for c in ddl.columns if c != sql), F.regexp_extract(text, head, 1).alias("table_name"), F.posexplode(parts).alias("place", "__c"))
+    made = made.select(*others, F.regexp_extract(text, head, 1).alias("table_name"), F.posexplode(parts).alias("place", "__c"))
     kind = F.regexp_extract("__c", rf"^{_NAME} ((?:double precision|character varying|bit varying|timestamp(?: ?\([^)]*\))? with(?:out)? time zone|\w+)(?: ?\([^)]*\))?(?:\[\])*)", 1)
     whole = lambda x: F.translate(x, _COMMA, ",")
-    return made.select(*(c for c in ddl.columns if c != sql), whole(F.col("table_name")).alias("table_name"), (F.col("place") + 1).alias("place"), whole(F.regexp_extract("__c", rf"^({_NAME})", 1)).alias("column_name"), whole(kind).alias("type"))
+    return made.select(*others, whole(F.col("table_name")).alias("table_name"), (F.col("place") + 1).alias("place"), whole(F.regexp_extract("__c", rf"^({_NAME})", 1)).alias("column_name"), whole(kind).alias("type"))
 
 
 def routines(scripts: DataFrame, sql: str = "sql", place: str = "id") -> DataFrame:

@@ -300,3 +300,36 @@ def test_table_names(spark):
     assert names("WITH q AS (SELECT 1 FROM a), r (x) AS (SELECT 2 FROM q) SELECT * FROM r JOIN LATERAL (SELECT 3) z ON true") == ["a"]
     assert names("DELETE FROM a USING b, c WHERE x = trim(both from y)") == ["a", "b", "c"]
     assert names("CREATE TABLE IF NOT EXISTS t (a int)") == ["t"] and names("SELECT * FROM generate_series(1, 3)") == []
+
+
+@pytest.mark.parametrize("name", ["sql_function_arity", "sql_table_columns", "sql_tokens", "sql_package_mismatches", "mapper_statements", "java_statements", "sql_statements"])
+def test_texts_are_made_in_many_parts(spark, sf_dir, name):
+    made = Q.QUERIES[name](spark, sf_dir)
+    assert made.rdd.getNumPartitions() > 1 or "hashpartitioning(" in made._jdf.queryExecution().executedPlan().toString()
+    if name != "sql_package_mismatches":  # its groups are coalesced
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+MARKED = [
+    "LOCK TABLE t", "drop table t cascade", "SELECT a FROM t WHERE nvl (a, 1) = 2 OR t.a <> t.b", "SELECT (SELECT 1) FROM t", "SELECT ( SELECT 1) FROM t", "SELECT a FROM t WHERE a <> ALL (SELECT 1)", "SELECT COUNT( * ), current_timestamp FROM t WHERE date(x) < 1",
+    "UPDATE t SET a = 1 FROM u", "INSERT INTO a.b SELECT 1", "INSERT ALL INTO t VALUES (1)", "SELECT 1 CONNECT BY x", "SELECT a FROM t WHERE b ILIKE '_x'", "SELECT a FROM t WHERE b LIKE E'%x' FOR NO KEY UPDATE", "SELECT a FROM t FETCH FIRST 3 ROWS ONLY", "CREATE UNLOGGED TABLE t (a int)",
+    "BEGIN EXECUTE IMMEDIATE a || b; GOTO x; PRAGMA autonomous_transaction; COMMIT; EXCEPTION WHEN OTHERS THEN NULL; END", "BEGIN LOOP INSERT INTO t SELECT 1; END LOOP; END", "SELECT a FROM t WHERE b != NULL OFFSET 3", "SELECT 1 UNION SELECT ${x}", "EXPLAIN MERGE INTO t USING u", "SELECT a FROM t WHERE b BETWEEN 1 AND 1", "", None,
+    f"SELECT a FROM t WHERE b IN({', '.join(map(str, range(501)))})", "SELECT a FROM t JOIN u", "SELECT DISTINCT a FROM t ORDER BY 1", "SELECT a.b FROM t a WHERE a.b = a.c", "DELETE FROM t",
+]
+
+
+def test_marks_hide_no_finding(spark, sf_dir):
+    """Marks spare patterns: with and without them the findings are the same, and a text without marks reaches no pattern."""
+    texts = spark.createDataFrame(list(enumerate(MARKED)), "id long, sql string").union(S.statements(Q._scripts(spark, sf_dir)).select("id", F.col("statement").alias("sql")))
+    plain = [r._replace(marks=()) for r in S.LINT_RULES]
+    with_marks = rows(S.lint(texts))
+    assert with_marks == rows(S.lint(texts, rules=plain))
+    assert {r.code for r in S.LINT_RULES if r.marks} <= {r["code"] for r in S.lint(texts).select("code").distinct().collect()} | {"merge-used"}
+    slow = S.LintRule("x", "caution", "(?:a?){40}a{40}b", marks=("zzz",))
+    assert S.lint(spark.createDataFrame([(1, "a" * 60)], "id int, sql string"), rules=[slow], column_rules={}).count() == 0
+
+
+def test_blocks_counted_once(spark):
+    """A thousand statements of one block: each is masked once, and the block stays whole."""
+    block = "BEGIN " + " ".join(f"IF a > {k} THEN x := CASE a WHEN 1 THEN {k} END; END IF;" for k in range(500)) + " END"
+    assert cut(spark, block + "; SELECT 1") == [block, "SELECT 1"]
