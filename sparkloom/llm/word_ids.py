@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
@@ -40,8 +41,25 @@ def ids_by_library(tokenizer: Tokenizer, text: str) -> list[int]:
     return tokenizer.encode(text, add_special_tokens=False).ids
 
 
+_SHORT = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _SHORT[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Cache(dict):
+    """Ids by piece, made when a piece is first asked for; emptied when it is full."""
+
+    def __init__(self, made: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        ids = self[piece] = self.made(piece)
+        return ids
 
 
 class WordEncoder:
@@ -49,7 +67,8 @@ class WordEncoder:
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        self.pieces: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pieces = _Cache(self._piece)
         self.words: dict[str, bytes] = {}
         self.letters = dict(zip(range(256), _byte_letters()))
         probe = ["the", "été", "wörter", "!!", "straßen"]
@@ -59,7 +78,7 @@ class WordEncoder:
         """One pre-token, lower case: straight to the merges, past normalizer and splitter."""
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
+        return [t.id for t in self.tokenize(word)]
 
     def _word(self, word: str) -> bytes:
         """Ids of letters only or punctuation only: one pre-token."""
@@ -82,15 +101,7 @@ class WordEncoder:
         return _packed(ids_by_library(self.tokenizer, text))
 
     def __call__(self, text: bytes | None) -> bytes:
-        pieces = (text or b"").split()
-        held = self.pieces
-        for p in pieces:
-            if p not in held:
-                if len(held) >= CACHE_ENTRIES:
-                    self.pieces = held = {}
-                    return b"".join([held.get(q) or held.setdefault(q, self._piece(q)) for q in pieces])
-                held[p] = self._piece(p)
-        return b"".join([held[p] for p in pieces])
+        return b"".join(map(self.pieces.__getitem__, (text or b"").split()))
 
 
 @lru_cache(maxsize=2)

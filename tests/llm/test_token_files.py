@@ -102,3 +102,9 @@ def test_damage_is_noticed(spark, tmp_path):
         spark.read.parquet(str(tmp_path / "good" / part)).write.parquet(str(tmp_path / "bad" / part))
     with pytest.raises(Exception, match="checksum differs"):
         T.read_token_files(spark, str(tmp_path / "bad")).collect()
+
+
+def test_cache_is_bounded_within_a_text(monkeypatch):
+    monkeypatch.setattr(word_ids, "CACHE_ENTRIES", 20)
+    small, text = word_ids.WordEncoder(open(WORD_BPE).read()), " ".join(f"w{k}x" for k in range(1000))
+    assert small(text.encode()) == ENCODER(text.encode()) and len(small.pieces) <= 20
